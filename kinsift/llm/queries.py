@@ -6,17 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinsift.llm import exact_dedup
+from kinsift.llm import exact_dedup, minhash
 from kinsift.llm.common import table
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dedup(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_exact_dedup": op8_exact_dedup}
+    return {
+        "op4_minhash_near_dedup": op4_minhash_near_dedup,
+        "op8_exact_dedup": op8_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exact_dedup.SQL}
+    return {
+        "op4_minhash_near_dedup": minhash.SQL,
+        "op8_exact_dedup": exact_dedup.SQL,
+    }
