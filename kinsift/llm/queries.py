@@ -5,11 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kinsift.llm import exact_dedup, minhash
+from kinsift.llm import exact_dedup, langid, minhash
 from kinsift.llm.common import table
 
 
+def remainder(column: str, n: int):
+    """crc32 of the decimal digits of an id, modulo n."""
+    return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(n))
+
+
+def language_model(docs: DataFrame) -> langid.LanguageModel:
+    return langid.fit(docs.filter(remainder("doc_id", 3) != 1))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, language_model(docs))
+    return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "mixture")
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(table(spark, sf_dir, "documents"), words=4, percent=80)
 
@@ -20,6 +36,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op8_exact_dedup": op8_exact_dedup,
     }
