@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinsift.llm import exact_dedup, langid, minhash, mixing
+from kinsift.llm import exact_dedup, langid, minhash, mixing, packing
 from kinsift.llm.common import table
 
 
@@ -35,6 +35,21 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def tokenizer_path() -> str:
+    """The packing tokenizer; KINSIFT_TOKENIZER names another file."""
+    import os
+
+    if own := os.environ.get("KINSIFT_TOKENIZER"):
+        return own
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, closing=0)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -44,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": op1_language_id,
         "op3_entropy_mix": op3_entropy_mix,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
+        "op6_best_fit_packing": op6_best_fit_packing,
         "op8_exact_dedup": op8_exact_dedup,
     }
 
