@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinsift.llm import exact_dedup, langid, minhash, mixing, packing
+from kinsift.llm import exact_dedup, langid, minhash, mixing, packing, suffix_dedup
 from kinsift.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"), length=200)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_suffix_dedup": op9_suffix_dedup,
     }
 
 
