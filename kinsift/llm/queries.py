@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinsift.llm import exact_dedup, langid, minhash, mixing, packing, suffix_dedup
+from kinsift.llm import exact_dedup, html_extract, langid, minhash, mixing, packing, suffix_dedup
 from kinsift.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"), length=200)
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_best_fit_packing": op6_best_fit_packing,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_suffix_dedup": op9_suffix_dedup,
+        "op10_html_extract": op10_html_extract,
     }
 
 

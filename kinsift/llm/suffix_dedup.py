@@ -118,23 +118,26 @@ def _scan(length: int):
     return run
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
+def suffix_array(text: np.ndarray, wide: bool = False) -> np.ndarray:
     """Suffixes in order, by Larsson-Sadakane refinement.
 
     Each round sorts only the groups that are not yet single, by the ranks at a distance that doubles; it ends when
-    all are, since Kasai's rule needs the whole order.
+    all are, since Kasai's rule needs the whole order.  ``wide``: the text holds whole numbers instead of bytes.
     """
     n = len(text)
-    wide = np.concatenate((text, np.zeros(8, np.uint8))).astype(_U64)
-    word = np.zeros(n, dtype=_U64)
-    for k in range(8):
-        word = (word << _U64(8)) | wide[k : k + n]
+    if wide:
+        word, reach = text.astype(np.int64) + 1, 1
+    else:
+        reach = 8
+        padded = np.concatenate((text, np.zeros(8, np.uint8))).astype(_U64)
+        word = np.zeros(n, dtype=_U64)
+        for k in range(8):
+            word = (word << _U64(8)) | padded[k : k + n]
     order = np.argsort(word, kind="stable")
     head = np.concatenate(([True], word[order][1:] != word[order][:-1]))
     rank = np.empty(n, np.int64)
     at = np.flatnonzero(head)
     rank[order] = np.repeat(at, np.diff(np.append(at, n))) + 1  # 0 is beyond the end
-    reach = 8
     while True:
         size = np.diff(np.append(at, n))
         open_ = np.repeat(size > 1, size)  # places in the order whose groups are not single
