@@ -6,11 +6,15 @@
    sets, else but for about 5e-9 at similarity 0.8 with k=40, least=15), so of the values that any other class
    retains it shares one among the ``m - least + 1`` rarest of its ``m``.  Only those enter the lists, which keeps
    common lines and passages out of nearly all of them.
-3. *Stars, then blocks.*  In each list every class is compared with the smallest one; what links becomes one
-   component, and pairs inside a component need no further comparison.  Lists that still hold several components
-   are compared in blocks of bounded size, so no list ever meets in one task and no pair is given up.
-4. *Filter and verify.*  A pair goes on if set sizes allow the similarity and the union sketch shows enough matches;
-   then the exact Jaccard of the full shingle sets decides, in integers.
+3. *Stars.*  In each list every class is compared with the smallest one; what links becomes one component, and pairs
+   inside a component need no further comparison.
+4. *Rest.*  Short lists that still hold several components are compared in full.  Classes of long ones are *crowded*:
+   for them the lists are built anew from their full sets, where a class must share 80 % (the similarity) of its
+   shingles with other crowded classes to take part at all, and only the rarest fifth of its values are keys.  What
+   these lists still leave open is compared in blocks of bounded size, so no list meets in one task and no pair is
+   given up.
+   A pair counts if set sizes allow the similarity and the union sketch shows enough matches; then the exact
+   Jaccard of the full shingle sets decides, in integers.
 5. *Components* of the links by large-star/small-star rounds.
 
 Defined results: null or empty texts have no shingles, link with nothing and stay; a text shorter than a shingle has
@@ -34,7 +38,9 @@ from kinsift.operators.graph import connected_components
 from kinsift.sources.scratch import keep_ids, materialise
 
 #: Classes of one list that a block comparison holds on either side.
-BLOCK = 512
+BLOCK = 256
+#: Lists up to so many classes are compared in full by their sketches.
+SHORT = 32
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -76,21 +82,20 @@ def _rows(column: pa.Array) -> list[np.ndarray]:
     return [flat[cuts[i] : cuts[i + 1]] for i in range(len(column))]
 
 
-def _promising(k: int, least: int, percent: int):
-    """Pairs whose sizes allow the similarity and whose union sketch has enough matches."""
+def _union_sketch(x: np.ndarray, y: np.ndarray, k: int, least: int) -> bool:
+    """Whether enough of the k smallest values of the union are in both."""
+    both = np.sort(np.concatenate((x, y)))
+    match = np.flatnonzero(both[1:] == both[:-1])
+    # the place of a match in the union is its index less the matches before it
+    inside = np.count_nonzero(match - np.arange(len(match)) < k)
+    return bool(inside * k >= least * min(k, len(both) - len(match)))
 
+
+def _promising(k: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = _rows(batch.column("sa")), _rows(batch.column("sb"))
-            ok = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(left, right)):
-                both = np.sort(np.concatenate((x, y)))
-                match = np.flatnonzero(both[1:] == both[:-1])
-                distinct = len(both) - len(match)
-                # matches among the k smallest of the union: position in the union is index minus earlier matches
-                inside = np.count_nonzero(match - np.arange(len(match)) < k)
-                ok[i] = inside * k >= least * min(k, distinct)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], names=["a", "b"])
+            ok = pa.array([_union_sketch(x, y, k, least) for x, y in zip(_rows(batch.column("sa")), _rows(batch.column("sb")))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
     return run
 
@@ -108,37 +113,65 @@ def _exact(percent: int):
     return run
 
 
-def _block_pairs(k: int, least: int, percent: int):
-    """Promising pairs of different components between the two sides of one block cell of one list."""
+def _matches(left: np.ndarray, right: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of sets ``left`` with sets ``right`` (indices), by products of incidence columns."""
+    value, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shared = np.bincount(flat, minlength=len(value)) > 1
+    column = np.where(shared, np.cumsum(shared) - 1, -1)[flat]
+    owner, column = owner[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    place = np.full((2, len(sets)), -1)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    out = np.zeros((len(left), len(right)), np.float32)
+    width = 2048
+    for lo in range(0, int(shared.sum()), width):
+        a, z = np.searchsorted(column, (lo, lo + width))
+        sides = []
+        for k, n in ((0, len(left)), (1, len(right))):
+            at = place[k, owner[a:z]]
+            x = np.zeros((n, width), np.float32)
+            x[at[at >= 0], column[a:z][at >= 0] - lo] = 1
+            sides.append(x)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _short_pairs(k: int, least: int, percent: int):
+    """Pairs of different components in one short list that sketches and sizes do not rule out."""
+
+    def run(members: pa.Table) -> pa.Table:
+        ids, comp, n = (members.column(c).to_numpy() for c in ("id", "component", "n"))
+        sketches = [row for chunk in members.column("sketch").chunks for row in _rows(chunk)]
+        every = np.arange(len(ids))
+        match = _matches(every, every, sketches)
+        low, high = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
+        some = (ids[:, None] < ids[None, :]) & (comp[:, None] != comp[None, :]) & (100 * low >= percent * high)
+        i, j = np.nonzero(some & (match * k >= least * np.minimum(k, high)))
+        ok = [_union_sketch(sketches[x], sketches[y], k, least) for x, y in zip(i, j)]
+        i, j = i[ok], j[ok]
+        return pa.table({"a": ids[i].astype(np.int64), "b": ids[j].astype(np.int64)})
+
+    return run
+
+
+def _block_links(percent: int):
+    """Links between classes of different components in one block cell of one list, by their full sets."""
 
     def run(cell: pa.Table) -> pa.Table:
         side = cell.column("side").to_numpy()
-        ids, comp, n = (cell.column(c).to_numpy() for c in ("id", "component", "n"))
-        sketches = [row for chunk in cell.column("sketch").chunks for row in _rows(chunk)]
+        ids, comp = (cell.column(c).to_numpy() for c in ("id", "component"))
+        sets = [row for chunk in cell.column("shingles").chunks for row in _rows(chunk)]
+        n = np.array([len(s) for s in sets], dtype=np.int64)
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        value, flat = np.unique(np.concatenate(sketches), return_inverse=True)
-        owner = np.repeat(np.arange(len(sketches)), [len(s) for s in sketches])
-        count = np.bincount(flat, minlength=len(value))
-        matches = np.zeros((len(left), len(right)), np.float32)
-        place_l, place_r = np.full(len(ids), -1), np.full(len(ids), -1)
-        place_l[left], place_r[right] = np.arange(len(left)), np.arange(len(right))
-        shared = np.flatnonzero(count > 1)
-        column = np.full(len(value), -1)
-        column[shared] = np.arange(len(shared))
-        at = column[flat]
-        for lo in range(0, len(shared), 2048):
-            hit = (at >= lo) & (at < lo + 2048)
-            o, c = owner[hit], at[hit] - lo
-            x, y = np.zeros((len(left), 2048), np.float32), np.zeros((len(right), 2048), np.float32)
-            x[place_l[o][place_l[o] >= 0], c[place_l[o] >= 0]] = 1
-            y[place_r[o][place_r[o] >= 0], c[place_r[o] >= 0]] = 1
-            matches += x @ y.T
-        nl, nr = n[left][:, None], n[right][None, :]
-        fits = 100 * np.minimum(nl, nr) >= percent * np.maximum(nl, nr)
-        # a bound from above of the matches in the union sketch; _promising then decides
-        some = fits & (comp[left][:, None] != comp[right][None, :]) & (matches * k >= least * np.minimum(k, np.maximum(nl, nr)))
-        i, j = np.nonzero(some)
+        both = _matches(left, right, sets).astype(np.int64)
+        linked = 100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)
+        i, j = np.nonzero(linked & (comp[left][:, None] != comp[right][None, :]))
+        # links to one component say the same: one of them is enough for each class
         a, b = ids[left[i]], ids[right[j]]
+        first = np.unique(np.stack((left[i], comp[right[j]]), axis=1), axis=0, return_index=True)[1] if len(i) else i
+        a, b = a[first], b[first]
         return pa.table({"a": np.minimum(a, b).astype(np.int64), "b": np.maximum(a, b).astype(np.int64)})
 
     return run
@@ -149,7 +182,7 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, k:
     left = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     near = pairs.join(left, "a").join(right, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    near = materialise(near.select("a", "b", "sa", "sb").mapInArrow(_promising(k, least, percent), "a long, b long"), "near-pairs")
+    near = materialise(near.select("a", "b", "sa", "sb").mapInArrow(_promising(k, least), "a long, b long"), "near-pairs")
     ids = materialise(near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct(), "near-ids")
     full = keep_ids(docs, ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_full(words), "doc_id long, shingles array<long>")
     full = materialise(full, "near-sets")
@@ -157,6 +190,29 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, k:
     return materialise(both.select("a", "b", "xa", "xb").mapInArrow(_exact(percent), "a long, b long"), "near-links")
 
 
+def _rarest(entries: DataFrame, need) -> DataFrame:
+    """(id, v): of each class's values that another class has, all but its ``need - 1`` most frequent.
+
+    ``entries``: (id, v, len), values distinct in a class.  Classes with fewer than ``need`` such values link with
+    nothing.
+    """
+    df = entries.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
+    own = entries.join(df, "v").groupBy("id").agg(F.first("len").alias("len"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    own = own.select("id", F.size("vs").alias("m"), need.cast("int").alias("need"), "vs").filter("m >= need")
+    return own.select("id", F.explode(F.slice("vs", F.lit(1), F.col("m") - F.col("need") + 1)).alias("e")).select("id", F.col("e.v").alias("v"))
+
+
+def _open_lists(lists: DataFrame, parts: DataFrame, least_members: int) -> tuple[DataFrame, DataFrame]:
+    """(v, id, component) of all lists, and (v, members) of those with several components and enough members.
+
+    Lists of the same members need one comparison; they are told apart by two 64-bit sums over the members.
+    """
+    label = lists.join(parts.withColumnRenamed("node", "id"), "id", "left").select("v", "id", F.coalesce("component", "id").alias("component"))
+    label = materialise(label, "near-label")
+    per = label.groupBy("v").agg(F.count("*").alias("members"), (F.min("component") < F.max("component")).alias("several"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s"), F.sum(F.xxhash64("component", "id").cast("decimal(20,0)")).alias("t"))
+    return label, per.filter(F.col("several") & (F.col("members") >= least_members)).groupBy("members", "s", "t").agg(F.min("v").alias("v"))
+
+
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, k: int = 40, least: int = 15) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per document of ``docs`` (needs doc_id and text).
 
@@ -170,11 +226,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, k: int = 40,
 
     # inverted lists of each class's rarest shared values
     entries = classes.select("id", F.explode("sketch").alias("v"), F.size("sketch").alias("len"))
-    df = entries.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
-    own = entries.join(df, "v").groupBy("id").agg(F.first("len").alias("len"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
-    need = F.ceil(F.col("len") * least / k).cast("int")
-    lists = own.select("id", F.size("vs").alias("m"), need.alias("need"), "vs").filter("m >= need")
-    lists = materialise(lists.select("id", F.explode(F.slice("vs", F.lit(1), F.col("m") - F.col("need") + 1)).alias("e")).select("id", F.col("e.v").alias("v")), "near-lists")
+    lists = materialise(_rarest(entries, F.ceil(F.col("len") * least / k)), "near-lists")
 
     # stars: every member of a list against its smallest
     heads = lists.groupBy("v").agg(F.min("id").alias("a"), F.count("*").alias("members")).filter("members > 1")
@@ -182,21 +234,27 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, k: int = 40,
     links = _links(stars, classes, docs, words, k, least, percent)
     parts = materialise(connected_components(links, "a", "b"), "near-parts")
 
-    # lists that still hold several components: all their blocks against each other
-    label = lists.join(parts.withColumnRenamed("node", "id"), "id", "left").select("v", "id", F.coalesce("component", "id").alias("component"))
-    label = materialise(label, "near-label")
-    per = label.groupBy("v").agg(F.count("*").alias("members"), (F.min("component") < F.max("component")).alias("several"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s"), F.sum(F.xxhash64("component", "id").cast("decimal(20,0)")).alias("t"))
-    # lists of the same members need one comparison: they are told apart by two 64-bit sums over the members
-    open_ = per.filter("several AND members > 2").groupBy("members", "s", "t").agg(F.min("v").alias("v")).select("v", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    # lists that still hold several components
+    label, open_ = _open_lists(lists, parts, 3)  # stars have compared lists of two
+    short = label.join(open_.filter(F.col("members") <= SHORT).select("v"), "v").join(classes.select("id", "n", "sketch"), "id")
+    rest = short.groupBy("v").applyInArrow(_short_pairs(k, least, percent), "a long, b long").distinct()
+    more = _links(rest.join(stars, ["a", "b"], "left_anti"), classes, docs, words, k, least, percent)
+
+    # classes of long ones, by their full sets
+    crowd = materialise(label.join(open_.filter(F.col("members") > SHORT).select("v"), "v").select(F.col("id").alias("doc_id")).distinct(), "near-crowd")
+    full = materialise(keep_ids(docs, crowd, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_full(words), "doc_id long, shingles array<long>").withColumnRenamed("doc_id", "id"), "near-crowd-sets")
+    entries = full.select("id", F.explode("shingles").alias("v"), F.size("shingles").alias("len"))
+    lists = materialise(_rarest(entries, F.ceil(F.col("len") * percent / 100)), "near-crowd-lists")
+    label, open_ = _open_lists(lists, parts, 2)
+    open_ = open_.select("v", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     member = label.join(open_, "v").withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # cell (i, j), i <= j, of block i against block j: a member of block x stands in cells (x, y) and (y, x)
     cells = member.select("v", "id", "component", "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cells = cells.select("v", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), F.when(F.col("at") == F.col("other"), 2).when(F.col("at") < F.col("other"), 0).otherwise(1).alias("side"), "id", "component")
-    cells = cells.join(classes.select("id", "n", "sketch"), "id")
-    rest = cells.groupBy("v", "i", "j").applyInArrow(_block_pairs(k, least, percent), "a long, b long").filter("a < b").distinct()
-    more = _links(rest.join(stars, ["a", "b"], "left_anti"), classes, docs, words, k, least, percent)
+    dense = cells.join(full, "id").groupBy("v", "i", "j").applyInArrow(_block_links(percent), "a long, b long").distinct()
 
-    reach = connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "a", "b")
+    known = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    reach = connected_components(known.union(more).union(dense), "a", "b")
     done = classes.join(reach.withColumnRenamed("node", "id"), "id", "left").select("digest", "members", F.coalesce("component", "id").alias("component_id"))
     done = materialise(done, "near-done")
     total = some.count()
