@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinsift.llm import exact_dedup, html_extract, langid, minhash, mixing, packing, suffix_dedup
+from kinsift.llm import ann, exact_dedup, html_extract, langid, minhash, mixing, packing, suffix_dedup
 from kinsift.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op5_adaptive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def tokenizer_path() -> str:
     """The packing tokenizer; KINSIFT_TOKENIZER names another file."""
     import os
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": op1_language_id,
         "op3_entropy_mix": op3_entropy_mix,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
+        "op5_adaptive_ann": op5_adaptive_ann,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_suffix_dedup": op9_suffix_dedup,
