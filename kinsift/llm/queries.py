@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinsift.llm import ann, exact_dedup, html_extract, langid, minhash, mixing, packing, suffix_dedup
+from kinsift.llm import ann, exact_dedup, html_extract, langid, minhash, mixing, packing, quality, suffix_dedup
 from kinsift.llm.common import table
 
 
@@ -54,6 +54,14 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, closing=0)
 
 
+def op7_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = quality.measured_table(table(spark, sf_dir, "documents"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y"))
+    model = quality.fit(measured.filter(remainder("doc_id", 4) != 2), labels)
+    scored = quality.score(measured, model)
+    return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -73,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op5_adaptive_ann": op5_adaptive_ann,
         "op6_best_fit_packing": op6_best_fit_packing,
+        "op7_quality_discriminant": op7_quality_discriminant,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_html_extract": op10_html_extract,
