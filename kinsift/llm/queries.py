@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinsift.llm import ann, exact_dedup, html_extract, langid, minhash, mixing, packing, quality, suffix_dedup
+from kinsift.llm import ann, exact_dedup, html_extract, langid, minhash, mixing, packing, pii, quality, suffix_dedup
 from kinsift.llm.common import table
 
 
@@ -26,6 +26,16 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "mixture")
 
 
+#: Key of the query's pseudonyms; a real run passes a secret of its own.
+PII_KEY = "kinsift demonstration key"
+
+
+def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = pii.pseudonymise(docs, PII_KEY)
+    return done.select("doc_id", "text", F.size("pii").cast("long").alias("n_pii"), F.array_sort(F.col("pii.kind")).alias("kinds"))
+
+
 def op3_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
@@ -77,6 +87,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_pii_pseudonyms": op2_pii_pseudonyms,
         "op3_entropy_mix": op3_entropy_mix,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op5_adaptive_ann": op5_adaptive_ann,
