@@ -1 +1 @@
-
+"""Column functions and Python functions on single documents."""

@@ -69,3 +69,41 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     alone = now.select(F.col("v").alias("node")).union(loops).distinct().join(stars.select("node"), "node", "left_anti")
     return stars.union(alone.select("node", F.col("node").alias("component")))
+
+
+def groups(pairs: DataFrame, block: str, a: str, b: str, weight: str, flag: str = "flagged", separator: str = ";") -> DataFrame:
+    """Connected groups of flagged pairs per block: (block, group_id, size, files, num_flagged_edges, avg_composite).
+
+    Nodes are names within a block; groups have two members at least and are numbered by their smallest member.
+    """
+    from pyspark.sql.window import Window
+
+    edges = pairs.filter(F.col(flag).cast("int") == 1).select(block, F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"), F.col(weight).alias("w"))
+    node = lambda c: F.xxhash64(F.col(block).cast("string"), F.col(c))
+    edges = materialise(edges.withColumns({"ia": node("a"), "ib": node("b")}), "group-edges")
+    parts = connected_components(edges, "ia", "ib").withColumnRenamed("node", "i")
+    members = edges.select(block, F.col("a").alias("file"), F.col("ia").alias("i")).union(edges.select(block, F.col("b").alias("file"), F.col("ib").alias("i"))).distinct().join(parts, "i")
+    listed = members.groupBy(block, "component").agg(F.count("*").cast("int").alias("size"), F.sort_array(F.collect_set("file")).alias("names"))
+    weights = edges.join(parts.withColumnRenamed("i", "ia"), "ia").groupBy(block, "component").agg(F.count("*").cast("int").alias("num_flagged_edges"), F.bround(F.avg("w"), 4).alias("avg_composite"))
+    number = F.dense_rank().over(Window.partitionBy(block).orderBy(F.array_min("names")))
+    out = listed.join(weights, [block, "component"]).filter("size >= 2")
+    return out.select(block, number.cast("string").alias("group_id"), "size", F.array_join("names", separator).alias("files"), "num_flagged_edges", "avg_composite")
+
+
+def degrees(pairs: DataFrame, block: str, a: str, b: str) -> DataFrame:
+    """(block, node, degree) over an undirected edge table."""
+    ends = pairs.select(block, F.col(a).alias("node")).union(pairs.select(block, F.col(b).alias("node")))
+    return ends.groupBy(block, "node").agg(F.count("*").alias("degree"))
+
+
+def matrix_long(pairs: DataFrame, block: str, a: str, b: str, value: str) -> DataFrame:
+    """(block, i, j, value): both directions of every pair, and 1 on the diagonal."""
+    there = pairs.select(block, F.col(a).alias("i"), F.col(b).alias("j"), F.col(value).alias("value"))
+    back = there.select(block, F.col("j").alias("i"), F.col("i").alias("j"), "value")
+    nodes = there.select(block, "i").union(back.select(block, "i")).distinct()
+    return there.union(back).union(nodes.select(block, "i", F.col("i").alias("j"), F.lit(1.0).alias("value")))
+
+
+def heatmap(pairs: DataFrame, block: str, a: str, b: str, value: str, names: list[str]) -> DataFrame:
+    """The matrix with a column for each of ``names`` (for display: as many columns as names)."""
+    return matrix_long(pairs, block, a, b, value).groupBy(block, "i").pivot("j", names).agg(F.first("value"))

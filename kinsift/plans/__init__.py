@@ -1 +1 @@
-
+"""Whole plans: scans of submissions and the catalogue of queries."""

@@ -1 +1 @@
-
+"""Structured Streaming: an extension, batch operators applied to arriving submissions."""
