@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinsift.plans import text_queries
+from kinsift.plans import code_queries, fusion_queries, text_queries
 
-_ALL = {**text_queries.QUERIES}
+_ALL = {**text_queries.QUERIES, **fusion_queries.QUERIES, **code_queries.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

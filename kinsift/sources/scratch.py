@@ -9,6 +9,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,11 +46,28 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the scratch area and read it back: cuts lineage, survives lost executors."""
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """While it lasts, Arrow batches hold at most ``rows`` rows: bounds memory where rows carry whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if rows is not None:
+        spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def materialise(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the scratch area and read it back: cuts lineage, survives lost executors.
+
+    ``rows``: bound of Arrow batches on the way.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    with arrow_rows(spark, rows):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
