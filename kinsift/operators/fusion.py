@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Gain in F1 that a higher threshold must show.
-EPSILON = 1e-12
+from kinsift.sources.scratch import materialise
+
 #: Penalty on the sum of squared weights; it only breaks ties, towards balanced weights.
 BALANCE = 1e-3
 
@@ -57,18 +57,37 @@ def mean_of(signals: list[str]) -> Column:
     return reduce(lambda a, b: a + b, (F.col(s) for s in signals)) / F.lit(float(len(signals)))
 
 
-def auc(table: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
-    """Per slice ``auc``: the share of (positive, negative) pairs in order, ties half; null with one class only.
+def _by_score(table: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
+    """Per slice and distinct score: ``p``, ``q`` (positives, negatives), ``p_under``, ``q_under`` (of lower scores) and
+    ``lower`` (the next lower score).
 
-    Rows are first added up by score; a running count over distinct scores then gives the rank sums.
+    Slices are independent windows.  Without slices, running sums are taken inside stretches of scores and the stretches
+    are summed up in a second, small table, so all scores never meet in one task.
     """
+    count = lambda y: F.sum(F.when(F.col(label) == y, 1).otherwise(0))
+    at = table.groupBy(*by, score).agg(count(1).alias("p"), count(0).alias("q"))
+    if by:
+        own = Window.partitionBy(*by).orderBy(score)
+        inside = own.rowsBetween(Window.unboundedPreceding, -1)
+        return at.select("*", *(F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"{c}_under") for c in "pq"), F.lag(score).over(own).alias("lower"))
+    at = materialise(at.withColumn("_stretch", F.floor(F.col(score) * 1024)), "scores")  # read twice below
+    own = Window.partitionBy("_stretch").orderBy(score)
+    inside = own.rowsBetween(Window.unboundedPreceding, -1)
+    at = at.select("*", *(F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"{c}_in") for c in "pq"), F.lag(score).over(own).alias("_lag"))
+    sums = at.groupBy("_stretch").agg(F.sum("p").alias("_p"), F.sum("q").alias("_q"), F.max(score).alias("_top"))
+    order = Window.orderBy("_stretch")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_stretch", *(F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"{c}_before") for c in "pq"), F.lag("_top").over(order).alias("_last"))
+    out = at.join(sums, "_stretch")
+    return out.select(score, "p", "q", *((F.col(f"{c}_in") + F.col(f"{c}_before")).alias(f"{c}_under") for c in "pq"), F.coalesce("_lag", "_last").alias("lower"))
+
+
+def auc(table: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
+    """Per slice ``auc``: the share of (positive, negative) pairs in order, ties half; null with one class only."""
     by = by or []
-    at = table.groupBy(*by, score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("q"))
-    below = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    at = at.withColumn("under", F.coalesce(F.sum("q").over(below), F.lit(0)))
-    won = F.sum(F.col("p") * (F.col("under") + F.col("q") / 2))
+    won = F.sum(F.col("p") * (F.col("q_under") + F.col("q") / 2))
     pairs = F.sum("p") * F.sum("q")
-    return at.groupBy(*by).agg((won / F.when(pairs == 0, None).otherwise(pairs)).alias("auc"))
+    return _by_score(table, score, label, by).groupBy(*by).agg((won / F.when(pairs == 0, None).otherwise(pairs)).alias("auc"))
 
 
 def search_weights(table: DataFrame, grid: DataFrame, signals: list[str], label: str, by: list[str] | None = None) -> DataFrame:
@@ -79,30 +98,33 @@ def search_weights(table: DataFrame, grid: DataFrame, signals: list[str], label:
     found = auc(tried.select(*by, "ord", "score", label), "score", label, [*by, "ord"]).join(F.broadcast(grid), "ord")
     squares = reduce(lambda a, b: a + b, (F.col(w) * F.col(w) for w in names))
     found = found.withColumn("objective", F.col("auc") - BALANCE * squares)
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc_nulls_last("objective"), "ord"))
-    return found.withColumn("place", place).filter("place = 1").drop("place")
+    kept = [c for c in found.columns if c not in (*by, "ord", "objective")]
+    best = F.min(F.struct((-F.coalesce("objective", F.lit(-1e9))).alias("rank"), "ord", "objective", *kept)).alias("t")
+    return found.groupBy(*by).agg(best).filter("t IS NOT NULL").select(*by, "t.ord", "t.objective", *(f"t.{c}" for c in kept))
 
 
 def threshold_curve(table: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
     """Per slice and distinct score: ``tp``, ``fp``, ``fn`` and ``f1`` of flagging that score and above; ``lower``."""
     by = by or []
-    at = table.groupBy(*by, score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("q"))
-    down = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy(*by)
-    out = at.select(*by, score, F.sum("p").over(down).alias("tp"), F.sum("q").over(down).alias("fp"), F.sum("p").over(every).alias("positives"), F.lag(score).over(Window.partitionBy(*by).orderBy(score)).alias("lower"))
-    out = out.withColumn("fn", F.col("positives") - F.col("tp"))
+    at = _by_score(table, score, label, by)
+    if by:
+        every = Window.partitionBy(*by)
+        out = at.select("*", F.sum("p").over(every).alias("positives"), F.sum("q").over(every).alias("negatives"))
+    else:
+        out = at.crossJoin(F.broadcast(at.agg(F.sum("p").alias("positives"), F.sum("q").alias("negatives"))))  # one row
+    out = out.select(*by, score, "lower", (F.col("positives") - F.col("p_under")).alias("tp"), (F.col("negatives") - F.col("q_under")).alias("fp"), F.col("p_under").alias("fn"))
     worth = 2 * F.col("tp") + F.col("fp") + F.col("fn")
-    return out.withColumn("f1", F.when(worth == 0, 0.0).otherwise(2 * F.col("tp") / worth)).drop("positives")
+    return out.withColumn("f1", F.when(worth == 0, 0.0).otherwise(2 * F.col("tp") / worth))
 
 
 def best_threshold(table: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
     """Per slice ``threshold`` and ``f1``: the lowest score with the best F1, moved half-way to the next lower score."""
     by = by or []
     curve = threshold_curve(table, score, label, by)
-    # F1 values are ratios of small whole numbers: those within EPSILON of each other are equal
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.round("f1", 11)), score))
-    top = curve.withColumn("place", place).filter("place = 1")
-    return top.select(*by, ((F.col(score) + F.coalesce("lower", score)) / 2).alias("threshold"), "f1")
+    # F1 values are ratios of whole numbers: those that agree in 11 digits are equal
+    top = F.min(F.struct((-F.round("f1", 11)).alias("rank"), F.col(score).alias("s"), F.coalesce("lower", score).alias("l"), "f1")).alias("t")
+    best = curve.groupBy(*by).agg(top).filter("t IS NOT NULL")
+    return best.select(*by, ((F.col("t.s") + F.col("t.l")) / 2).alias("threshold"), F.col("t.f1").alias("f1"))
 
 
 def fit(table: DataFrame, signals: list[str], label: str, step: float = 0.1, by: list[str] | None = None) -> DataFrame:
