@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kinsift.sources.scratch import materialise
 
 
-def _roots(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def spanning_roots(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nodes of an edge list and the smallest node reachable from each, by numpy label propagation."""
     nodes, flat = np.unique(np.concatenate([src, dst]), return_inverse=True)
     a, b = flat[: len(src)], flat[len(src) :]
@@ -35,7 +35,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        nodes, root = _roots(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+        nodes, root = spanning_roots(batch.column(0).to_numpy(), batch.column(1).to_numpy())
         keep = nodes != root
         yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(root[keep])], names=["u", "v"])
 
