@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinsift.llm import exact_dedup, langid, minhash, mixing, packing
+from kinsift.llm.common import TEXT_ROWS
 from kinsift.llm.queries import language_model, tokenizer_path
 from kinsift.sources.scratch import keep_ids, materialise
 
@@ -21,7 +22,7 @@ LEAST_SHARE = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without letters or without a language that explains half of their words."""
     found = langid.identify(docs, language_model(docs))
-    rejected = materialise(found.filter((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < LEAST_SHARE)).select("doc_id").distinct(), "stage-language")
+    rejected = materialise(found.filter((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < LEAST_SHARE)).select("doc_id").distinct(), "stage-language", TEXT_ROWS)
     return keep_ids(docs, rejected, "doc_id", "left_anti")
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,15 +11,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel works on at a time; one longer text is worked on alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+#: Rows with whole texts that go to Python at a time.
+TEXT_ROWS = 1000
+
+
+#: What a worker process remembers between tasks, by its owner: functions that drop it.
+_REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def remember(owner: str, drop: Callable[[], None]) -> None:
+    _REMEMBERED[owner] = drop
+
+
+def release(but: str = "") -> None:
+    """Drop what other operators remember in this worker process: workers outlive the stages they served."""
+    for owner in [x for x in _REMEMBERED if x != but]:
+        _REMEMBERED.pop(owner)()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: the allocator of a long-lived worker keeps large blocks otherwise."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows whose ``column`` holds at most ``most`` bytes together (one row at least)."""
+def slices(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES, owner: str = "") -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of rows whose ``column`` holds at most ``most`` bytes together (one row at least).
+
+    Releases what other operators than ``owner`` remember in this worker.
+    """
+    release(owner)
     col = batch.column(column)
     n = batch.num_rows
     if n == 0:
@@ -31,6 +60,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
         to = min(n, max(at + 1, to))
         yield batch.slice(at, to - at)
         at = to
+    trim()
 
 
 def fixed_lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:

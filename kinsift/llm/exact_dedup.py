@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinsift.llm.common import join_groups, slices
+from kinsift.llm.common import TEXT_ROWS, join_groups, slices
 from kinsift.llm.shingles import _FOLD, text_buffer
 from kinsift.sources.scratch import keep_ids, materialise
 
@@ -116,7 +116,8 @@ def _sender(owners: int, bits: int):
             for part_of in slices(batch, "text"):
                 data, offsets = text_buffer(part_of.column("text"))
                 folded = memoryview(_FOLD[data]) if len(data) else memoryview(b"")
-                ids.append(part_of.column("doc_id"))
+                # a copy: a slice would keep its whole batch, texts included, until the sender is full
+                ids.append(part_of.column("doc_id").take(pa.array(np.arange(part_of.num_rows))))
                 for i in range(part_of.num_rows):
                     raw = folded[offsets[i] : offsets[i + 1]]
                     shas.append(hashlib.sha256(raw).digest())
@@ -169,7 +170,7 @@ def exact_dedup(docs: DataFrame, owners: int | None = None, bits: int = 48) -> D
     spark = docs.sparkSession
     owners = owners or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sent = materialise(docs.mapInArrow(_sender(owners, bits), _SENT), "exact-sent")
+    sent = materialise(docs.mapInArrow(_sender(owners, bits), _SENT), "exact-sent", TEXT_ROWS)
     answers = sent.select("owner", "sender", "blob").groupBy("owner").applyInArrow(_owner, "sender long, owner int, shared binary")
     found = materialise(sent.drop("blob").join(answers, ["sender", "owner"]).mapInArrow(_receive, "doc_id long, sha binary, suspect boolean"), "exact-found")
     suspects = found.filter("suspect").select("doc_id", "sha")
@@ -177,7 +178,7 @@ def exact_dedup(docs: DataFrame, owners: int | None = None, bits: int = 48) -> D
     texts = keep_ids(docs, suspects.select("doc_id"), "doc_id", "left_semi")
     verified = texts.mapInArrow(_bytes, "doc_id long, sha binary, raw binary").groupBy("sha", "raw").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     clash = F.when(F.count("*") > 1, F.raise_error(F.lit("two texts share a SHA-256"))).otherwise(F.first("keep_id"))
-    groups = materialise(verified.groupBy("sha").agg(clash.cast("long").alias("keep_id"), F.sum("group_size").alias("group_size")), "exact-groups")
+    groups = materialise(verified.groupBy("sha").agg(clash.cast("long").alias("keep_id"), F.sum("group_size").alias("group_size")), "exact-groups", TEXT_ROWS)
     copies = join_groups(suspects, groups, ["sha"], "group_size", n)
     alone = found.filter("NOT suspect").select("sha", "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     return alone.unionByName(copies).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinsift.llm.common import slices
+from kinsift.llm.common import TEXT_ROWS, slices
 from kinsift.llm.suffix_dedup import common_prefixes, suffix_array
 from kinsift.sources.scratch import materialise
 
@@ -256,7 +256,7 @@ def extract(pages: DataFrame, least: int = 12, host_pages: int = 2000) -> DataFr
     """
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
     pages = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    parsed = materialise(pages.mapInArrow(_parse, f"ref long, page_id {kinds['page_id']}, url string, text string, host string, blocks array<string>"), "html-parsed")
+    parsed = materialise(pages.mapInArrow(_parse, f"ref long, page_id {kinds['page_id']}, url string, text string, host string, blocks array<string>"), "html-parsed", TEXT_ROWS)
     settled = parsed.filter("blocks IS NULL").select("page_id", "url", "text", F.lit(0).cast("long").alias("n_repeated"))
 
     unsure = parsed.filter("blocks IS NOT NULL").select("ref", "host", "blocks", "page_id", "url")

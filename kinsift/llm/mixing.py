@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from kinsift.llm.common import join_groups
+from kinsift.llm.common import join_groups, release
 from kinsift.sources.scratch import materialise
 
 #: Documents of one part of a cell.
@@ -151,6 +151,7 @@ def _round_parts(most: int):
     """Whole copies of each part of one source: error feedback, in tokens, from the largest size to the smallest."""
 
     def run(table: pa.Table) -> pa.Table:
+        release()
         size, part, n, rate = (table.column(c).to_numpy() for c in ("size", "part", "n", "rate"))
         # descending sizes: what a large document leaves over, smaller ones make up for
         order = np.lexsort((part, -size))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kinsift.llm.common import slices
+from kinsift.llm.common import TEXT_ROWS, remember, slices
 from kinsift.llm.shingles import Words, text_buffer
 from kinsift.sources.scratch import materialise
 
@@ -114,6 +114,7 @@ _KEPT: dict[str, WordTokenizer] = {}
 def _tokenizer(path: str) -> WordTokenizer:
     if path not in _KEPT:
         _KEPT[path] = WordTokenizer(path)
+    remember("packing", _KEPT.clear)
     return _KEPT[path]
 
 
@@ -125,7 +126,7 @@ def _cut(path: str, capacity: int, closing: int):
         tokenizer = _tokenizer(path)
         end = np.array([closing], dtype="<u4")
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", owner="packing"):
                 ids, offsets = tokenizer.encode(*text_buffer(part.column("text")))
                 length = np.diff(offsets) + 1
                 pieces = -(-length // capacity)
@@ -279,7 +280,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, closing: int = 0
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = docs.mapInArrow(_cut(tokenizer, capacity, closing), f"doc_id long, {_PIECE}")
     salted = pieces.withColumn("serial", F.monotonically_increasing_id()).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    pieces = materialise(salted, "pack-pieces")
+    pieces = materialise(salted, "pack-pieces", TEXT_ROWS)
     short = pieces.filter(F.col("length") < capacity)
     cells = short.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()  # at most capacity x SALTS lines
     counts: Counter = Counter()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinsift.llm.common import slices
+from kinsift.llm.common import TEXT_ROWS, slices
 from kinsift.llm.shingles import Words, mix64, text_buffer
 from kinsift.sources.scratch import materialise
 
@@ -205,4 +205,4 @@ def score(measured: DataFrame, model: Discriminant) -> DataFrame:
 
 def measured_table(docs: DataFrame) -> DataFrame:
     """The statistics as a written table, so texts are read once for fitting and scoring."""
-    return materialise(measure(docs), "quality-statistics")
+    return materialise(measure(docs), "quality-statistics", TEXT_ROWS)
