@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinsift.llm.common import slices
+from kinsift.llm.common import TEXT_ROWS, join_groups, release, slices, trim
 from kinsift.llm.shingles import _BASE, _INV, _powers, mix64, text_buffer
 from kinsift.sources.scratch import keep_ids, materialise
 
@@ -147,8 +147,9 @@ def suffix_array(text: np.ndarray, wide: bool = False) -> np.ndarray:
         p = order[spot]
         group = rank[p]
         beyond = p + reach
-        second = np.where(beyond < n, rank[np.minimum(beyond, n - 1)], 0)
-        by = np.argsort(group * (n + 2) + second, kind="stable")
+        # a suffix that ends before the distance comes before all that go on, the shorter first
+        second = np.where(beyond < n, rank[np.minimum(beyond, n - 1)] + reach, n - p)
+        by = np.argsort(group * (n + reach + 2) + second, kind="stable")
         p, group, second = p[by], group[by], second[by]
         order[spot] = p
         split = np.zeros(len(spot), bool)
@@ -203,6 +204,7 @@ def _shard(length: int):
     """Repeated string starts of each segment of a shard; of split keys also what merging needs."""
 
     def run(table: pa.Table) -> pa.Table:
+        release()
         # repeated rows of one document send the same segment each
         pair = np.stack([table.column(c).to_numpy() for c in ("key", "digest")], axis=1)
         table = table.take(pa.array(np.unique(pair, axis=0, return_index=True)[1])).combine_chunks()
@@ -232,6 +234,7 @@ def _shard(length: int):
             for i in np.flatnonzero(split):
                 w1[i], w2[i] = a[inside[i] : inside[i + 1]], b[inside[i] : inside[i + 1]]
         longs = pa.list_(pa.int64())
+        trim()
         return pa.table({"key": table.column("key"), "digest": table.column("digest"), "shard": table.column("shard"), "first": pa.array(first, longs), "last": pa.array(last, longs), "w1": pa.array(w1, longs), "w2": pa.array(w2, longs)})
 
     return run
@@ -317,10 +320,12 @@ def suffix_dedup(docs: DataFrame, length: int = 200, spans_out: bool = False, ke
         raise ValueError("length must be over 40 and at most 296")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("u", F.xxhash64("text"))
-    scanned = materialise(docs.mapInArrow(_scan(length), "doc_id long, u long, ref long, keys array<long>, digests array<long>, places array<long>"), "suffix-scan")
+    scanned = materialise(docs.mapInArrow(_scan(length), "doc_id long, u long, ref long, keys array<long>, digests array<long>, places array<long>"), "suffix-scan", TEXT_ROWS)
     rows = scanned.select("ref", F.posexplode("keys").alias("i", "key"), "digests", "places").select("ref", "key", F.get("digests", F.col("i")).alias("digest"), F.get("places", F.col("i")).alias("place"))
-    keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("digest").alias("d0"), F.max("digest").alias("d1")).filter("n > 1").select("key", (F.col("d0") != F.col("d1")).alias("mixed"))
-    suspects = materialise(rows.join(keys, "key"), "suffix-suspects")
+    keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("digest").alias("d0"), F.max("digest").alias("d1")).filter("n > 1")
+    keys = materialise(keys.select("key", "n", (F.col("d0") != F.col("d1")).alias("mixed")), "suffix-keys")
+    total = scanned.agg(F.sum(F.size("keys")).alias("n")).first().n or 0
+    suspects = materialise(join_groups(rows, keys, ["key"], "n", total), "suffix-suspects")
     whole = suspects.filter("NOT mixed").select("ref", F.shiftright("place", 8).alias("a"), (F.shiftright("place", 8) + F.col("place").bitwiseAND(255) + length).alias("z"))
 
     # keys whose segments differ: each distinct segment once
@@ -331,7 +336,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, spans_out: bool = False, ke
     refs = scanned.select("ref", "doc_id", "u")
     wanted = distinct.select(F.col("at.ref").alias("ref"), F.struct("key", "digest", "many", F.col("at.place").alias("place")).alias("x")).groupBy("ref").agg(F.collect_list("x").alias("wanted"))
     wanted = materialise(wanted.join(refs, "ref").groupBy("doc_id", "u").agg(F.flatten(F.collect_list("wanted")).alias("wanted")), "suffix-wanted")
-    raw = materialise(_with_rows(docs, wanted).mapInArrow(_bytes(length), "key long, digest long, many long, raw binary"), "suffix-raw")
+    raw = materialise(_with_rows(docs, wanted).mapInArrow(_bytes(length), "key long, digest long, many long, raw binary"), "suffix-raw", TEXT_ROWS)
     total = raw.agg(F.sum(F.length("raw"))).first()[0] or 0
     shards = max(1, -(-int(total) // SHARD_BYTES))
     sharded = raw.join(dealt, "key", "left").withColumn("split", F.col("salts").isNotNull()).withColumn("shard", F.when(F.col("split"), -1 - F.pmod(F.xxhash64("key", F.pmod("digest", "salts")), F.lit(1 << 40))).otherwise(F.pmod("key", F.lit(shards))).cast("long"))
