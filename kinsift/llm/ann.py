@@ -231,12 +231,14 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_column: str = "ve
     sizes = np.array([held.get(i, 0) for i in range(len(sent.value.centres))], dtype=np.int64)
     chosen = usable.withColumnRenamed("id", id_column).filter(queries).withColumnRenamed(id_column, "id")
     asked = materialise(chosen.mapInArrow(_ask(sent, sizes, k), "query_id long, q binary, bound double, lists array<int>, seen array<long>, seen_scores array<double>"), "ann-asked")
-    groups = max(1, -(-asked.count() // PART_QUERIES))
-
-    lines = spark.createDataFrame([(i, int(max(1, -(-n // PART_ROWS)))) for i, n in enumerate(sizes.tolist())], "list int, parts int")
-    left = listed.join(F.broadcast(lines), "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("list", "part", "group", "id", "v")
-    right = asked.withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")).select("query_id", "q", "bound", "group", F.explode("lists").alias("list"))
-    right = right.join(F.broadcast(lines), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("list", "part", "group", "query_id", "q", "bound")
+    want = {r.list: r.n for r in asked.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most most_lists
+
+    # a list is scanned in cells: a part of its vectors against a group of the queries that probe it
+    cells = [(i, max(1, -(-n // PART_ROWS)), -(-want[i] // PART_QUERIES)) for i, n in enumerate(sizes.tolist()) if i in want]
+    lines = F.broadcast(spark.createDataFrame(cells, "list int, parts int, groups int"))
+    left = listed.join(lines, "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("list", "part", "group", "id", "v")
+    right = asked.select("query_id", "q", "bound", F.explode("lists").alias("list")).join(lines, "list").withColumn("group", F.pmod(F.xxhash64("query_id"), F.col("groups")).cast("int"))
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("list", "part", "group", "query_id", "q", "bound")
     keys = ("list", "part", "group")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_scan(sent, k, epsilon), _FOUND)
     seeds = asked.select("query_id", F.explode(F.arrays_zip("seen", "seen_scores")).alias("s")).select("query_id", F.col("s.seen").alias("vec_id"), F.col("s.seen_scores").alias("score"))
