@@ -71,10 +71,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     return stars.union(alone.select("node", F.col("node").alias("component")))
 
 
-def groups(pairs: DataFrame, block: str, a: str, b: str, weight: str, flag: str = "flagged", separator: str = ";") -> DataFrame:
+def groups(pairs: DataFrame, block: str, a: str, b: str, weight: str, flag: str = "flagged", separator: str = ";", prefix: str | None = None) -> DataFrame:
     """Connected groups of flagged pairs per block: (block, group_id, size, files, num_flagged_edges, avg_composite).
 
-    Nodes are names within a block; groups have two members at least and are numbered by their smallest member.
+    Nodes are names within a block; groups have two members at least.  Ids are the block's name, or ``prefix``, and a
+    number by smallest member.
     """
     from pyspark.sql.window import Window
 
@@ -87,7 +88,7 @@ def groups(pairs: DataFrame, block: str, a: str, b: str, weight: str, flag: str
     weights = edges.join(parts.withColumnRenamed("i", "ia"), "ia").groupBy(block, "component").agg(F.count("*").cast("int").alias("num_flagged_edges"), F.bround(F.avg("w"), 4).alias("avg_composite"))
     number = F.dense_rank().over(Window.partitionBy(block).orderBy(F.array_min("names")))
     out = listed.join(weights, [block, "component"]).filter("size >= 2")
-    return out.select(block, number.cast("string").alias("group_id"), "size", F.array_join("names", separator).alias("files"), "num_flagged_edges", "avg_composite")
+    return out.select(block, F.concat_ws("_", F.col(block).cast("string") if prefix is None else F.lit(prefix), number.cast("string")).alias("group_id"), "size", F.array_join("names", separator).alias("files"), "num_flagged_edges", "avg_composite")
 
 
 def degrees(pairs: DataFrame, block: str, a: str, b: str) -> DataFrame:

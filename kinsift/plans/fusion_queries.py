@@ -307,5 +307,5 @@ QUERIES = {
     "rescued_pairs": (rescued_pairs, f"WITH {_S} SELECT a, b, jaccard, structural FROM raw_signals WHERE same = 1 AND jaccard < 0.3 AND structural >= 0.5"),
     "flagged_pairs_ranked": (flagged_pairs_ranked, f"WITH {_V} SELECT problem_id, a, b, row_number() OVER (PARTITION BY problem_id ORDER BY score DESC, a, b) AS place FROM v WHERE flagged"),
     "mean_signal_by_label": (mean_signal_by_label, f"WITH {_S} SELECT same, count(*) AS n, {', '.join(f'round(coalesce(avg({x}), 0.0), 6) AS {x}' for x in SIGNALS)} FROM raw_signals GROUP BY same"),
-    "suspicion_groups": (suspicion_groups, f"WITH RECURSIVE {_V}, l AS MATERIALIZED (SELECT problem_id, CAST(a AS VARCHAR) AS a, CAST(b AS VARCHAR) AS b FROM v WHERE flagged UNION ALL SELECT problem_id, CAST(b AS VARCHAR), CAST(a AS VARCHAR) FROM v WHERE flagged), reach AS (SELECT problem_id, a AS node, a AS seen FROM l UNION SELECT r.problem_id, r.node, l.b FROM reach r JOIN l ON l.problem_id = r.problem_id AND l.a = r.seen), c AS (SELECT problem_id, node, min(seen) AS root FROM reach GROUP BY ALL), k AS (SELECT problem_id, root, count(*) AS size, string_agg(node, ';' ORDER BY node) AS files FROM c GROUP BY ALL), w2 AS (SELECT c.problem_id, c.root, count(*) AS n FROM v JOIN c ON c.problem_id = v.problem_id AND c.node = CAST(v.a AS VARCHAR) WHERE flagged GROUP BY ALL) SELECT k.problem_id, CAST(dense_rank() OVER (PARTITION BY k.problem_id ORDER BY k.root) AS VARCHAR) AS group_id, k.size, k.files, w2.n AS num_flagged_edges FROM k JOIN w2 ON w2.problem_id = k.problem_id AND w2.root = k.root"),
+    "suspicion_groups": (suspicion_groups, f"WITH RECURSIVE {_V}, l AS MATERIALIZED (SELECT problem_id, CAST(a AS VARCHAR) AS a, CAST(b AS VARCHAR) AS b FROM v WHERE flagged UNION ALL SELECT problem_id, CAST(b AS VARCHAR), CAST(a AS VARCHAR) FROM v WHERE flagged), reach AS (SELECT problem_id, a AS node, a AS seen FROM l UNION SELECT r.problem_id, r.node, l.b FROM reach r JOIN l ON l.problem_id = r.problem_id AND l.a = r.seen), c AS (SELECT problem_id, node, min(seen) AS root FROM reach GROUP BY ALL), k AS (SELECT problem_id, root, count(*) AS size, string_agg(node, ';' ORDER BY node) AS files FROM c GROUP BY ALL), w2 AS (SELECT c.problem_id, c.root, count(*) AS n FROM v JOIN c ON c.problem_id = v.problem_id AND c.node = CAST(v.a AS VARCHAR) WHERE flagged GROUP BY ALL) SELECT k.problem_id, k.problem_id || '_' || CAST(dense_rank() OVER (PARTITION BY k.problem_id ORDER BY k.root) AS VARCHAR) AS group_id, k.size, k.files, w2.n AS num_flagged_edges FROM k JOIN w2 ON w2.problem_id = k.problem_id AND w2.root = k.root"),
 }

@@ -230,7 +230,7 @@ def test_groups(spark):
     rows = [("p", "a", "b", 0.9, 1), ("p", "b", "c", 0.8, 1), ("p", "d", "e", 0.7, 1), ("p", "a", "f", 0.1, 0), ("q", "a", "b", 0.6, 1)]
     df = spark.createDataFrame(rows, "problem_id string, a string, b string, w double, flagged int")
     got = {(r.problem_id, r.group_id): (r["size"], r.files, r.num_flagged_edges, r.avg_composite) for r in graph.groups(df, "problem_id", "a", "b", "w").collect()}
-    assert got == {("p", "1"): (3, "a;b;c", 2, 0.85), ("p", "2"): (2, "d;e", 1, 0.7), ("q", "1"): (2, "a;b", 1, 0.6)}
+    assert got == {("p", "p_1"): (3, "a;b;c", 2, 0.85), ("p", "p_2"): (2, "d;e", 1, 0.7), ("q", "q_1"): (2, "a;b", 1, 0.6)}
     assert graph.groups(df.filter("flagged = 0"), "problem_id", "a", "b", "w").count() == 0
     assert {(r.node, r.degree) for r in graph.degrees(df.filter("problem_id = 'p' AND flagged = 1"), "problem_id", "a", "b").collect()} == {("a", 1), ("b", 2), ("c", 1), ("d", 1), ("e", 1)}
     matrix = graph.matrix_long(df.filter("problem_id = 'q'"), "problem_id", "a", "b", "w").collect()
