@@ -32,9 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinsift.llm.common import join_groups, slices
+from kinsift.llm.common import TEXT_ROWS, join_groups, release, slices, trim
 from kinsift.llm.shingles import Words, shingle_hashes, text_buffer
-from kinsift.operators.graph import connected_components
+from kinsift.operators.graph import connected_components, spanning_roots
 from kinsift.sources.scratch import keep_ids, materialise
 
 #: Classes of one list that a block comparison holds on either side.
@@ -100,19 +100,6 @@ def _promising(k: int, least: int):
     return run
 
 
-def _exact(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(_rows(batch.column("xa")), _rows(batch.column("xb")))):
-                both = np.sort(np.concatenate((x, y)))
-                inter = int(np.count_nonzero(both[1:] == both[:-1]))
-                ok[i] = 100 * inter >= percent * (len(both) - inter)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], names=["a", "b"])
-
-    return run
-
-
 def _matches(left: np.ndarray, right: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of sets ``left`` with sets ``right`` (indices), by products of incidence columns."""
     value, flat = np.unique(np.concatenate(sets), return_inverse=True)
@@ -142,6 +129,7 @@ def _short_pairs(k: int, least: int, percent: int):
     """Pairs of different components in one short list that sketches and sizes do not rule out."""
 
     def run(members: pa.Table) -> pa.Table:
+        release()
         ids, comp, n = (members.column(c).to_numpy() for c in ("id", "component", "n"))
         sketches = [row for chunk in members.column("sketch").chunks for row in _rows(chunk)]
         every = np.arange(len(ids))
@@ -157,7 +145,7 @@ def _short_pairs(k: int, least: int, percent: int):
 
 
 def _block_links(percent: int):
-    """Links between classes of different components in one block cell of one list, by their full sets."""
+    """Components that links between classes in one block cell of one list join, by full sets: (root, component)."""
 
     def run(cell: pa.Table) -> pa.Table:
         side = cell.column("side").to_numpy()
@@ -168,11 +156,11 @@ def _block_links(percent: int):
         both = _matches(left, right, sets).astype(np.int64)
         linked = 100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)
         i, j = np.nonzero(linked & (comp[left][:, None] != comp[right][None, :]))
-        # links to one component say the same: one of them is enough for each class
-        a, b = ids[left[i]], ids[right[j]]
-        first = np.unique(np.stack((left[i], comp[right[j]]), axis=1), axis=0, return_index=True)[1] if len(i) else i
-        a, b = a[first], b[first]
-        return pa.table({"a": np.minimum(a, b).astype(np.int64), "b": np.maximum(a, b).astype(np.int64)})
+        # components are what counts: a tree over those that the cell joins says it all
+        edges = np.unique(np.stack((comp[left[i]], comp[right[j]]), axis=1), axis=0)
+        node, root = (x.astype(np.int64) for x in spanning_roots(edges[:, 0], edges[:, 1]))
+        trim()
+        return pa.table({"a": root[node != root], "b": node[node != root]})
 
     return run
 
@@ -185,9 +173,10 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, k:
     near = materialise(near.select("a", "b", "sa", "sb").mapInArrow(_promising(k, least), "a long, b long"), "near-pairs")
     ids = materialise(near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct(), "near-ids")
     full = keep_ids(docs, ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_full(words), "doc_id long, shingles array<long>")
-    full = materialise(full, "near-sets")
+    full = materialise(full, "near-sets", TEXT_ROWS)
     both = near.join(full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa")), "a").join(full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb")), "b")
-    return materialise(both.select("a", "b", "xa", "xb").mapInArrow(_exact(percent), "a long, b long"), "near-links")
+    inter = F.size(F.array_intersect("xa", "xb")).cast("long")
+    return materialise(both.filter(100 * inter >= percent * (F.size("xa") + F.size("xb") - inter)).select("a", "b"), "near-links")
 
 
 def _rarest(entries: DataFrame, need) -> DataFrame:
@@ -213,6 +202,22 @@ def _open_lists(lists: DataFrame, parts: DataFrame, least_members: int) -> tuple
     return label, per.filter(F.col("several") & (F.col("members") >= least_members)).groupBy("members", "s", "t").agg(F.min("v").alias("v"))
 
 
+def _edges(parts: DataFrame) -> DataFrame:
+    return parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
+def _crowd_links(lists: DataFrame, parts: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """(a, b): components to join, from all pairs of different components that share a list, in blocks."""
+    label, open_ = _open_lists(lists, parts, 2)
+    open_ = open_.select("v", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    member = label.join(open_, "v").withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # cell (i, j), i <= j, of block i against block j: a member of block x stands in cells (x, y) and (y, x)
+    cells = member.select("v", "id", "component", "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    side = F.when(F.col("at") == F.col("other"), 2).when(F.col("at") < F.col("other"), 0).otherwise(1)
+    cells = cells.select("v", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), side.alias("side"), "id", "component")
+    return materialise(cells.join(full, "id").groupBy("v", "i", "j").applyInArrow(_block_links(percent), "a long, b long").distinct(), "near-crowd-links")
+
+
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, k: int = 40, least: int = 15) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per document of ``docs`` (needs doc_id and text).
 
@@ -220,7 +225,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, k: int = 40,
     chance of missing a link (see the module); ``component_id`` is the smallest doc_id that links reach.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = materialise(docs.mapInArrow(_sketch(words, k), "doc_id long, n long, digest binary, sketch array<long>"), "near-sketch")
+    sketched = materialise(docs.mapInArrow(_sketch(words, k), "doc_id long, n long, digest binary, sketch array<long>"), "near-sketch", TEXT_ROWS)
     some = sketched.filter("n > 0 AND doc_id IS NOT NULL")
     classes = materialise(some.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-class")
 
@@ -242,19 +247,16 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, k: int = 40,
 
     # classes of long ones, by their full sets
     crowd = materialise(label.join(open_.filter(F.col("members") > SHORT).select("v"), "v").select(F.col("id").alias("doc_id")).distinct(), "near-crowd")
-    full = materialise(keep_ids(docs, crowd, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_full(words), "doc_id long, shingles array<long>").withColumnRenamed("doc_id", "id"), "near-crowd-sets")
+    full = materialise(keep_ids(docs, crowd, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_full(words), "doc_id long, shingles array<long>").withColumnRenamed("doc_id", "id"), "near-crowd-sets", TEXT_ROWS)
     entries = full.select("id", F.explode("shingles").alias("v"), F.size("shingles").alias("len"))
     lists = materialise(_rarest(entries, F.ceil(F.col("len") * percent / 100)), "near-crowd-lists")
-    label, open_ = _open_lists(lists, parts, 2)
-    open_ = open_.select("v", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    member = label.join(open_, "v").withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # cell (i, j), i <= j, of block i against block j: a member of block x stands in cells (x, y) and (y, x)
-    cells = member.select("v", "id", "component", "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = cells.select("v", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), F.when(F.col("at") == F.col("other"), 2).when(F.col("at") < F.col("other"), 0).otherwise(1).alias("side"), "id", "component")
-    dense = cells.join(full, "id").groupBy("v", "i", "j").applyInArrow(_block_links(percent), "a long, b long").distinct()
+    # first each class in its longest list only: near copies share most lists, and joined there need no other
+    longest = lists.join(lists.groupBy("v").agg(F.count("*").alias("members")), "v").groupBy("id").agg(F.max(F.struct("members", "v")).alias("top")).select("id", F.col("top.v").alias("v"))
+    first = _crowd_links(longest, parts, full, percent)
+    parts = materialise(connected_components(_edges(parts).union(first), "a", "b"), "near-parts")
+    dense = _crowd_links(lists, parts, full, percent)
 
-    known = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    reach = connected_components(known.union(more).union(dense), "a", "b")
+    reach = connected_components(_edges(parts).union(more).union(dense), "a", "b")
     done = classes.join(reach.withColumnRenamed("node", "id"), "id", "left").select("digest", "members", F.coalesce("component", "id").alias("component_id"))
     done = materialise(done, "near-done")
     total = some.count()
