@@ -93,7 +93,8 @@ def _sender(owners: int, bits: int):
             every = pa.concat_arrays(ids)
             order = np.argsort(fp, kind="stable")
             value, rank, count = np.unique(fp, return_inverse=True, return_counts=True)
-            owner = ((value.astype(object) * owners) >> bits).astype(np.int64) if bits > 40 and owners >= 1 << 22 else (value >> 20) * owners >> (bits - 20) if bits > 20 else value * owners >> bits
+            coarse = max(0, bits - 28)  # keeps the product below 2**63
+            owner = ((value >> coarse) * owners) >> (bits - coarse)
             cuts = np.flatnonzero(np.diff(owner, prepend=-1, append=owners + 1))
             digest = np.frombuffer(b"".join(shas), dtype="V32")
             rows = np.searchsorted(rank[order], cuts)
