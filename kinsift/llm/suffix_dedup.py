@@ -38,7 +38,7 @@ from kinsift.sources.scratch import keep_ids, materialise
 #: Bytes of the gram that is the anchor.
 GRAM = 40
 #: Bytes of text that a shard gets on average, and segments of one key in one shard.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 KEY_SEGMENTS = 2048
 
 _U64 = np.uint64
@@ -349,7 +349,8 @@ def suffix_dedup(docs: DataFrame, length: int = 200, spans_out: bool = False, ke
     merged = sent.withColumn("owner", F.pmod("w1", F.lit(max(16, strings // 500_000)))).groupBy("owner").applyInArrow(_merge, "key long, digest long, at int").select("key", "digest", F.col("at").cast("long").alias("first"), F.col("at").cast("long").alias("last"))
 
     ranges = repeated.unionByName(merged).groupBy("key", "digest").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    some = edges.join(ranges, ["key", "digest"]).select("ref", "place", F.explode("ranges").alias("r"))
+    ranges = materialise(ranges.join(distinct.select("key", "digest", "many"), ["key", "digest"]), "suffix-ranges")
+    some = join_groups(edges, ranges, ["key", "digest"], "many", edges.count()).select("ref", "place", F.explode("ranges").alias("r"))
     some = some.select("ref", (F.shiftright("place", 8) + F.col("r.first")).alias("a"), (F.shiftright("place", 8) + F.col("r.last") + length).alias("z"))
     spans = whole.unionByName(some).groupBy("ref").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
     spans = materialise(spans.join(refs, "ref").groupBy("doc_id", "u").agg(F.flatten(F.collect_list("spans")).alias("spans")), "suffix-spans")
