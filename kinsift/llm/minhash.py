@@ -38,7 +38,7 @@ from kinsift.operators.graph import connected_components, spanning_roots
 from kinsift.sources.scratch import keep_ids, materialise
 
 #: Classes of one list that a block comparison holds on either side.
-BLOCK = 256
+BLOCK = 512
 #: Lists up to so many classes are compared in full by their sketches.
 SHORT = 32
 
