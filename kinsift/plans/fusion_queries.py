@@ -143,13 +143,34 @@ def lopo_metrics(spark, sf_dir):
     return evaluation.metrics(evaluation.lopo(_filled(spark, sf_dir), THREE, "same", step=0.2), "flagged", "score", "same")
 
 
+def _held_out(spark, sf_dir, names: list[str]) -> DataFrame:
+    """Held-out scores with weights from the whole grid (step 0.1, as in the reference)."""
+    return evaluation.lopo(materialise(_filled(spark, sf_dir), "signals"), names, "same", step=0.1)  # a fit reads it several times
+
+
+def lopo_scores_tenths(spark, sf_dir):
+    return _held_out(spark, sf_dir, THREE).select("a", "b", "score", "threshold", F.col("flagged").cast("int").alias("flagged"))
+
+
+def lopo_metrics_tenths(spark, sf_dir):
+    return evaluation.metrics(_held_out(spark, sf_dir, THREE), "flagged", "score", "same")
+
+
+def lopo_scores_four(spark, sf_dir):
+    return _held_out(spark, sf_dir, SIGNALS).select("a", "b", "score", "threshold", F.col("flagged").cast("int").alias("flagged"))
+
+
+def lopo_metrics_four(spark, sf_dir):
+    return evaluation.metrics(_held_out(spark, sf_dir, SIGNALS), "flagged", "score", "same")
+
+
 def lopo_by_problem(spark, sf_dir):
     return evaluation.by_group(evaluation.lopo_average(signal_table(spark, sf_dir), THREE, "same"), "flagged", "same")
 
 
 def configuration_comparison(spark, sf_dir):
     table = materialise(_filled(spark, sf_dir), "signals")  # seven configurations read it
-    return evaluation.configurations(table, SIGNALS, "same", step=0.5)
+    return evaluation.configurations(table, SIGNALS, "same", step=0.1)
 
 
 def _scored(spark, sf_dir):
@@ -298,6 +319,10 @@ QUERIES = {
     "lopo_by_problem": (lopo_by_problem, f"WITH {_AVERAGE} SELECT problem_id, count(*) AS pairs, count(*) FILTER (CAST(flagged AS INTEGER) <> same) AS wrong, count(*) FILTER (CAST(flagged AS INTEGER) = same) / count(*) AS accuracy FROM e GROUP BY problem_id"),
     "lopo_scores": (lopo_scores, f"WITH {_LOPO} SELECT a, b, score, threshold, CAST(flagged AS INTEGER) AS flagged FROM e"),
     "lopo_metrics": (lopo_metrics, f"WITH {_LOPO}, {_auc_sql('e', 'k', 'm')} {_METRICS}"),
+    "lopo_scores_tenths": (lopo_scores_tenths, None),
+    "lopo_metrics_tenths": (lopo_metrics_tenths, None),
+    "lopo_scores_four": (lopo_scores_four, None),
+    "lopo_metrics_four": (lopo_metrics_four, None),
     "configuration_comparison": (configuration_comparison, None),
     "composite_verdicts": (composite_verdicts, f"WITH {_V} SELECT a, b, score, CAST(flagged AS INTEGER) AS flagged, {_VERDICT} FROM v WHERE embedding IS NOT NULL"),
     "fallback_verdicts": (fallback_verdicts, f"WITH {_V} SELECT a, b, score, CAST(flagged AS INTEGER) AS flagged, {_VERDICT} FROM v WHERE embedding IS NULL"),
