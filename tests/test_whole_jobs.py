@@ -1,7 +1,8 @@
 """Queries over small tables against brute force: the whole grid and every pair."""
 
+import math
 import random
-from itertools import product
+from itertools import combinations, product
 
 import pytest
 from test_operators import brute_auc, brute_threshold
@@ -61,3 +62,23 @@ def test_held_out_queries_search_the_whole_grid(spark, small):
         right = sum(flag == (y == 1) for _, _, flag, y in brute[name].values()) / len(rows)
         for r in (compared[configuration], queries[f"lopo_metrics_{name}"](spark, small).first()):
             assert abs(r.auc - area) < 1e-9 and abs(r.accuracy - right) < 1e-9
+
+
+def test_cosines_of_all_pairs(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(3)], i % 4) for i in range(30)] + [(30, [1.0, 0.0, 0.0], 0), (31, [0.0, 0.0, 0.0], None)]
+    rows[13] = (13, rows[6][1], rows[6][2])  # equal vectors whose ids differ modulo 8
+    kind = "vec_id long, embedding array<float>, label int"
+    spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = spark.read.parquet(f"{tmp_path}/embeddings.parquet").orderBy("vec_id").collect()  # as floats
+    length = lambda v: math.sqrt(sum(x * x for x in v)) or 1.0
+    brute = {(x.vec_id, y.vec_id): (sum(p * q for p, q in zip(x.embedding, y.embedding)) / length(x.embedding) / length(y.embedding), None if x.label is None or y.label is None else int(x.label == y.label)) for x, y in combinations(rows, 2)}
+    found = catalogue.queries()["embedding_cosine_all_pairs"](spark, str(tmp_path)).collect()
+    got = {(r.a, r.b): r.cosine for r in found}
+    assert len(found) == len(got) == 32 * 31 // 2 and got.keys() == brute.keys() and got[6, 13] == 1.0
+    assert all(abs(got[k] - v[0]) < 1e-6 for k, v in brute.items())
+    summary = {r.same: r for r in catalogue.queries()["embedding_summary_all_pairs"](spark, str(tmp_path)).collect()}
+    assert summary.keys() == {0, 1, None}
+    for same, r in summary.items():
+        some = [v for v, s in brute.values() if s == same]
+        assert r.n == len(some) and all(abs(x - y) < 2e-6 for x, y in ((r.low, min(some)), (r.high, max(some)), (r.mean, sum(some) / len(some))))
