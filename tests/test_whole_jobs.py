@@ -7,7 +7,7 @@ from itertools import combinations, product
 import pytest
 from test_operators import brute_auc, brute_threshold
 
-from kinsift.plans import catalogue, fusion_queries
+from kinsift.plans import catalogue, code_queries, fusion_queries
 
 
 @pytest.fixture(scope="module")
@@ -82,3 +82,11 @@ def test_cosines_of_all_pairs(spark, tmp_path):
     for same, r in summary.items():
         some = [v for v, s in brute.values() if s == same]
         assert r.n == len(some) and all(abs(x - y) < 2e-6 for x, y in ((r.low, min(some)), (r.high, max(some)), (r.mean, sum(some) / len(some))))
+
+
+def test_programs_of_one_size_are_one_problem(spark, tmp_path):
+    rows = [(k, "n", "b", "t", 1 + k % 2, 9.5) for k in range(1, 70, 4)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    count = {size: sum(r[4] == size for r in rows) for size in (1, 2)}
+    assert {(r.problem_id, r["count"]) for r in code_queries.programs(spark, str(tmp_path)).groupBy("problem_id").count().collect()} == {(f"size{s}", n) for s, n in count.items() if n}
+    assert catalogue.queries()["structural_pairs"](spark, str(tmp_path)).count() == sum(n * (n - 1) // 2 for n in count.values())
