@@ -57,14 +57,15 @@ _NAME = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _is_boilerplate(tag: str, attributes: str) -> bool:
+def _is_boilerplate(tag: str, attributes: str, names: bool = True) -> bool:
+    """``names``: whether words of its class or id count."""
     if tag in BOILERPLATE:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and not NAMES.isdisjoint(_NAME.findall(_CAMEL.sub(" ", value).lower())):
+        if names and name in ("class", "id") and not NAMES.isdisjoint(_NAME.findall(_CAMEL.sub(" ", value).lower())):
             return True
         if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
@@ -74,11 +75,26 @@ def _is_boilerplate(tag: str, attributes: str) -> bool:
 
 
 def blocks(page: str) -> tuple[list[tuple[str, bool]], bool]:
-    """Blocks of text outside certain boilerplate, each with whether it lies in a core element; and if there is one."""
+    """Blocks of text outside certain boilerplate, each with whether it lies in a core element; and if there is one.
+
+    The class or id of an element that holds the outermost core element (a layout wrapper) does not make it boilerplate.
+    """
+    found, seen_core, wrappers = _blocks(page, frozenset())
+    if wrappers:
+        found, seen_core, _ = _blocks(page, wrappers)
+    return found, seen_core
+
+
+def _blocks(page: str, spared: frozenset[int] | set[int]) -> tuple[list[tuple[str, bool]], bool, set[int]]:
+    """See :func:`blocks`; also the places of elements that are boilerplate by name and hold an outermost core element.
+
+    Names of elements at the places ``spared`` do not count.
+    """
     out: list[tuple[str, bool]] = []
     text: list[str] = []
-    # open elements: (tag, boilerplate level after it, core level after it)
-    stack: list[tuple[str, int, int]] = []
+    # open elements: (tag, boilerplate level after it, core level after it, its place if it is boilerplate by name or -1)
+    stack: list[tuple[str, int, int, int]] = []
+    wrappers: set[int] = set()
     dull = core = 0
     seen_core = False
     at, n = 0, len(page)
@@ -114,7 +130,7 @@ def blocks(page: str) -> tuple[list[tuple[str, bool]], bool]:
                     if tag in BLOCK:
                         end_block()
                     del stack[k:]
-                    dull, core = stack[-1][1:] if stack else (0, 0)
+                    dull, core = stack[-1][1:3] if stack else (0, 0)
                     break
                 if tag not in BLOCK and stack[k][0] in BLOCK:  # an inline end tag does not reach out of its block
                     break
@@ -124,7 +140,7 @@ def blocks(page: str) -> tuple[list[tuple[str, bool]], bool]:
             for k in range(len(stack) - 1, -1, -1):  # an open paragraph ends here
                 if stack[k][0] == "p":
                     del stack[k:]
-                    dull, core = stack[-1][1:] if stack else (0, 0)
+                    dull, core = stack[-1][1:3] if stack else (0, 0)
                     break
                 if stack[k][0] in BLOCK:
                     break
@@ -140,18 +156,23 @@ def blocks(page: str) -> tuple[list[tuple[str, bool]], bool]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
-                    dull, core = stack[-1][1:] if stack else (0, 0)
+                    dull, core = stack[-1][1:3] if stack else (0, 0)
                     break
                 if stack[k][0] in ("ul", "ol", "menu", "dl", "table", "select", "article", "main", "nav", "div"):
                     break
         if not m[3].endswith("/") or tag in BLOCK:
-            dull += _is_boilerplate(tag, m[3])
-            if tag in CORE and not dull:
-                core += 1
-                seen_core = True
-            stack.append((tag, dull, core))
+            boilerplate = _is_boilerplate(tag, m[3], here not in spared)
+            by_name = boilerplate and not _is_boilerplate(tag, m[3], False)
+            dull += boilerplate
+            if tag in CORE:
+                if dull and all(x[0] not in CORE for x in stack):
+                    wrappers.update(x[3] for x in stack if x[3] >= 0)
+                if not dull:
+                    core += 1
+                    seen_core = True
+            stack.append((tag, dull, core, here if by_name else -1))
     end_block()
-    return out, seen_core
+    return out, seen_core, wrappers
 
 
 def host(url: str | None) -> str:
