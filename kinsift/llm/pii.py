@@ -34,11 +34,14 @@ ROUNDS = 8
 DAY_A, DAY_B = 189, 773
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
+#: Countries by the length of their IBAN: where a written one in groups of four ends.
+IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FO FI GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC"}
+_GROUPED = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" [A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items())
+IBAN = rf"(?<![A-Za-z0-9])(?:[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}|{_GROUPED})(?![A-Za-z0-9])"
 IP = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"
-DATE = r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])"
+DATE = r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?=T[0-9]{2})|(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z]|[./-][0-9]))"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
-PHONE = r"(?<![0-9A-Za-z+(])(?:(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,5}\)?){2,6})(?![0-9A-Za-z])"
+PHONE = r"(?<![0-9A-Za-z+])(?:(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,5}\)?){2,6})(?![0-9A-Za-z])"
 CARD = r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])"
 ANY = "|".join((EMAIL, IBAN, IP, DATE, SSN, PHONE, CARD))
 
@@ -152,13 +155,15 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(text)), F.lit(0), step)
 
 
-def _iban(key: str, m: Column) -> tuple[Column, Column]:
+def _iban(key: str, written: Column) -> tuple[Column, Column]:
+    m = F.replace(written, F.lit(" "), F.lit(""))
     account, country = F.substr(m, F.lit(5), F.length(m)), F.substring(m, 1, 2)
-    ok = m.rlike(f"^(?:{IBAN})$") & (_mod97(F.concat(account, F.substring(m, 1, 4))) == 1) & (F.length(_digits(account)) >= 2)
+    ok = written.rlike(f"^(?:{IBAN})$") & (_mod97(F.concat(account, F.substring(m, 1, 4))) == 1) & (F.length(_digits(account)) >= 2)
     digits = _digits(account)
     shape = F.concat(country, F.regexp_replace(account, "[0-9]", "#"))
     made = _in_layout(account, _permute_digits(key, "iban", digits, shape))
-    return ok, F.transform(F.array(made), lambda x: F.concat(country, _pad(98 - _mod97(F.concat(x, country, F.lit("00"))), 2), x))[0]
+    new = F.transform(F.array(made), lambda x: F.concat(country, _pad(98 - _mod97(F.concat(x, country, F.lit("00"))), 2), x))[0]
+    return ok, F.when(written.contains(" "), F.regexp_replace(new, "(.{4})(?=.)", "$1 ")).otherwise(new)
 
 
 def _ip(key: str, m: Column) -> tuple[Column, Column]:
