@@ -67,7 +67,7 @@ def materialise(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
     with arrow_rows(spark, rows):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
