@@ -118,11 +118,12 @@ def _scan(length: int):
     return run
 
 
-def suffix_array(text: np.ndarray, wide: bool = False) -> np.ndarray:
+def suffix_array(text: np.ndarray, wide: bool = False, enough: int | None = None) -> np.ndarray:
     """Suffixes in order, by Larsson-Sadakane refinement.
 
     Each round sorts only the groups that are not yet single, by the ranks at a distance that doubles; it ends when
     all are, since Kasai's rule needs the whole order.  ``wide``: the text holds whole numbers instead of bytes.
+    ``enough``: end when suffixes are in the order of so many first places.
     """
     n = len(text)
     if wide:
@@ -142,7 +143,7 @@ def suffix_array(text: np.ndarray, wide: bool = False) -> np.ndarray:
         size = np.diff(np.append(at, n))
         open_ = np.repeat(size > 1, size)  # places in the order whose groups are not single
         spot = np.flatnonzero(open_)
-        if not len(spot):
+        if not len(spot) or enough and reach >= enough:
             break
         p = order[spot]
         group = rank[p]

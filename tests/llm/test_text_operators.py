@@ -156,13 +156,92 @@ def test_pages(spark, page, wanted):
     assert row.text == wanted and row.n_chars == len(wanted)
 
 
-@pytest.mark.parametrize("host_pages", [2, 2000])
-def test_repeated_text_of_a_host_goes(spark, host_pages):
+@pytest.mark.parametrize(
+    ("inner", "wanted"),
+    [
+        ("<p title='a hidden gem'>x</p>", "x"), ("<p data-id='comment-1'>x</p>", "x"), ("<p data-class='ad'>x</p>", "x"), ("<h2 id='discussion'>x</h2>", "x"), ("<section id='social'><p>x</p></section>", "x"),
+        ("<p class='related-work'>x</p>", "x"), ("<div class='ad-free'>x</div>", "x"), ("<p title='class=ad hidden'>x</p>", "x"), ("<h3 id='comments'>x</h3>", "x"), ("<p data-x=\"role='search'\">x</p>", "x"),
+        ("<p>x<span class='ad'>y</span>z</p>", "xz"), ("x<div class='ad'>y</div>", "x"), ("x<div id='comment-1'>y</div>", "x"), ("x<div class='card sidebar-left'>y</div>", "x"), ("x<p class=ad>y</p>", "x"), ("x<div hidden>y</div>", "x"),
+        ("x<div ARIA-HIDDEN=true>y</div>", "x"), ("x<p role='Navigation'>y</p>", "x"),
+    ],
+)
+def test_attributes(inner, wanted):
+    found = html_extract.blocks(f"<body><article>{inner}</article></body>")
+    assert "".join(t for zone, t in found if zone in (html_extract.CORE, html_extract.HINTED)) == wanted
+
+
+def test_open_text_beside_a_teaser(spark):
+    page = "<div><h1>A title</h1><p>the long text of this page</p></div><article>one teaser</article><div class='ad'>buy</div>"
+    rows = [(1, "http://a.com/1", page), (2, "http://a.com/2", "<div>menu of the site</div><article>an article that is longer</article>")]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "A title\nthe long text of this page\none teaser", 2: "an article that is longer"}
+
+
+def random_pages(rng, n):
+    """Pages of three hosts from few words, with shared lines, copies, and blocks of every zone."""
+    lines = [" ".join(rng.choice("abcd") for _ in range(rng.randrange(3, 9))) for _ in range(6)]
+    out = []
+    for i in range(n):
+        parts = []
+        for _ in range(rng.randrange(1, 7)):
+            line = rng.choice(lines) if rng.random() < 0.6 else " ".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 12)))
+            parts.append(rng.choice(["<p>{}</p>", "<nav>{}</nav>", "<div class=related>{}</div>", "<article><p>{}</p></article>", "<article><div class=related>{}</div>{}</article>"]).format(line, rng.choice(lines)))
+        out.append((i, rng.choice(["http://a.com/1", "http://www.b.org", None]), "".join(parts)))
+    return out + out[: n // 5] + [(n, "http://a.com/2", None), (n + 1, "http://a.com/2", "")]
+
+
+def brute_pages(rows, least):
+    """Texts and covered tokens straight from the rule: strings on two distinct pages of a host."""
+    streams = []
+    for _, url, page in rows:
+        found = html_extract.blocks(page or "")
+        words, cut = [], []
+        for k, (zone, t) in enumerate(found):
+            if zone != "c":
+                fresh = not words or found[k - 1][0] == "c"
+                for w in t.split(" "):
+                    cut.append(fresh)
+                    words.append((k, w))
+                    fresh = False
+        streams.append((html_extract.host(url), tuple(t for zone, t in found if zone != "m"), found, words, cut))
+    seen = {}
+    for h, page, _, words, cut in streams:
+        for s in range(len(words) - least + 1):
+            if not any(cut[s + 1 : s + least]):
+                seen.setdefault((h, tuple(w for _, w in words[s : s + least])), set()).add(page)
+    out = []
+    for h, _, found, words, cut in streams:
+        gone = set()
+        for s in range(len(words) - least + 1):
+            if not any(cut[s + 1 : s + least]) and len(seen[(h, tuple(w for _, w in words[s : s + least]))]) > 1:
+                gone.update(range(s, s + least))
+        left = {}
+        for i, (k, w) in enumerate(words):
+            if i not in gone:
+                left.setdefault(k, []).append(w)
+        inside = sum(len(t.split(" ")) if z == "c" else len(left.get(k, ())) * (z == "h") for k, (z, t) in enumerate(found))
+        open_ = sum(len(left.get(k, ())) for k, (z, _) in enumerate(found) if z == "o")
+        lines = [t if z == "c" else " ".join(left.get(k, ())) if z == "h" or z == "o" and open_ > inside else "" for k, (z, t) in enumerate(found)]
+        out.append(("\n".join(x for x in lines if x), len(gone)))
+    return out
+
+
+@pytest.mark.parametrize("shard_tokens", [40, 1_000_000])
+def test_repeated_strings_against_brute_force(spark, shard_tokens):
+    rows = random_pages(random.Random(3), 120)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r.page_id, r.text, r.n_chars, r.n_repeated) for r in html_extract.extract(df, least=5, shard_tokens=shard_tokens).collect())
+    wanted = sorted((i, t, len(t), k) for (i, _, _), (t, k) in zip(rows, brute_pages(rows, 5)))
+    assert got == wanted and sum(x[3] for x in got) > 100
+
+
+@pytest.mark.parametrize("shard_tokens", [20, 1_000_000])
+def test_repeated_text_of_a_host_goes(spark, shard_tokens):
     line = "<div>welcome to the site where every page has this same long line of text at its top</div>"
     rows = [(i, f"http://www.a.com/{i}", f"{line}<p>own {i} a{i} b{i}</p>") for i in range(7)] + [(20, "http://b.com/", line), (21, None, line), (22, None, line), (23, "http://a.com/", f"<article>{line}</article>")]
     df = spark.createDataFrame(rows + rows[:1], "page_id long, url string, html string")
-    got = {r.page_id: r.text for r in html_extract.extract(df, least=8, host_pages=host_pages).collect()}
-    assert all(got[i].endswith(f"{i} a{i} b{i}") and "site" not in got[i] for i in range(1, 7))
-    assert got[0] == "" and got[21] == got[22] == ""  # repeated rows are pages of their own
+    got = {r.page_id: r.text for r in html_extract.extract(df, least=8, shard_tokens=shard_tokens).collect()}
+    assert all(got[i].endswith(f"{i} a{i} b{i}") and "site" not in got[i] for i in range(7))
     assert "site" in got[20] and "site" in got[23]
+    assert "site" in got[21] and "site" in got[22]  # the same text twice is one page
     assert html_extract.extract(df.filter("false")).count() == 0
