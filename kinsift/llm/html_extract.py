@@ -226,11 +226,21 @@ def host(url: str | None) -> str:
         return ""
 
 
-_PARSED = "host string, page binary, stream binary, tokens long, zones string, core string, rest string"
+_PARSED = "host string, page binary, stream binary, tokens long, zones string, core binary, rest string"
+
+
+def _pack(text: str) -> bytes:
+    """Core text compressed, after its size: it is only carried along."""
+    raw = text.encode()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
+
+
+def _unpack(packed: bytes) -> str:
+    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True).decode() if packed else ""
 
 
 def _parse(structure: bool):
-    """Blocks of each page: ``zones`` has a letter for each, ``core`` and ``rest`` hold their texts, a line for each."""
+    """Blocks of each page: ``zones`` has a letter for each, ``core`` (compressed) and ``rest`` hold their texts, a line for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,10 +251,10 @@ def _parse(structure: bool):
                     zones = "".join(z for z, _ in found)
                     core, rest = "\n".join(t for z, t in found if z == CORE), "\n".join(t for z, t in found if z != CORE)
                     own = "\n".join(t for z, t in found if z != MARKED)
-                    row = (host(url), xxhash.xxh3_128_digest(own), xxhash.xxh3_128_digest(zones + "\n" + rest), len(rest.split(" ")) + rest.count("\n") if rest else 0, zones, core, rest)
+                    row = (host(url), xxhash.xxh3_128_digest(own), xxhash.xxh3_128_digest(zones + "\n" + rest), len(rest.split(" ")) + rest.count("\n") if rest else 0, zones, _pack(core), rest)
                     for column, x in zip(out, row):
                         column.append(x)
-                kinds = [pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.string()]
+                kinds = [pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.binary(), pa.string()]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), *(pa.array(x, k) for x, k in zip(out, kinds))], names=["page_id", "url", "host", "page", "stream", "tokens", "zones", "core", "rest"])
 
     return run
@@ -414,7 +424,7 @@ def _texts(least: int):
         for batch in batches:
             starts = batch.column("starts") if "starts" in batch.schema.names else pa.nulls(batch.num_rows)
             columns = [batch.column(c).to_pylist() for c in ("zones", "core", "rest")]
-            done = [assemble(z, c, r, s, least) for z, c, r, s in zip(*columns, starts.to_pylist())]
+            done = [assemble(z, _unpack(c), r, s, least) for z, c, r, s in zip(*columns, starts.to_pylist())]
             texts, counts = pa.array([t for t, _ in done], pa.string()), pa.array([k for _, k in done], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), texts, counts], names=["page_id", "url", "text", "n_repeated"])
 
@@ -430,11 +440,12 @@ def extract(pages: DataFrame, least: int = 12, shard_tokens: int = SHARD_TOKENS,
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
     key = ["host", "page", "stream"]
     pages = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    parsed = materialise(pages.mapInArrow(_parse(structure), f"page_id {kinds['page_id']}, url string, {_PARSED}"), "html-parsed", TEXT_ROWS)
+    parsed = pages.mapInArrow(_parse(structure), f"page_id {kinds['page_id']}, url string, {_PARSED}")
 
-    # each stream once, however many rows have it
-    streams = parsed.filter("tokens > 0").groupBy(*key, "zones", "rest").agg(F.count("*").alias("copies"))
-    large = parsed.groupBy("host").agg(F.sum("tokens").alias("n")).filter(F.col("n") > shard_tokens)
+    # each stream once, however many rows have it; core text is not written, pages are parsed again for it
+    seen = materialise(parsed.select(*key, "tokens", "zones", "rest"), "html-streams", TEXT_ROWS)
+    streams = seen.filter("tokens > 0").groupBy(*key, "zones", "rest").agg(F.count("*").alias("copies"))
+    large = seen.groupBy("host").agg(F.sum("tokens").alias("n")).filter(F.col("n") > shard_tokens)
     large = materialise(large.select("host", F.ceil(F.col("n") / shard_tokens).cast("int").alias("shards")), "html-large")
     whole = keep_ids(streams, large, "host", "left_anti").groupBy("host").applyInArrow(_shard(least), _FOUND)
     dealt = keep_ids(streams, large, "host", "left_semi").join(large, "host").withColumn("shard", F.pmod(F.xxhash64("page", "stream"), F.col("shards")).cast("int")).drop("shards")
@@ -446,7 +457,7 @@ def extract(pages: DataFrame, least: int = 12, shard_tokens: int = SHARD_TOKENS,
         whole = whole.unionByName(dealt.groupBy("host", "shard").cogroup(hits.groupBy("host", "shard")).applyInArrow(_apply(least), _FOUND))
     found = materialise(whole, "html-found", TEXT_ROWS)
 
-    some = join_groups(parsed.filter("tokens > 0"), found, key, "copies", parsed.count()).select("page_id", "url", "zones", "core", "rest", "starts")
+    some = join_groups(parsed.filter("tokens > 0"), found, key, "copies", seen.count()).select("page_id", "url", "zones", "core", "rest", "starts")
     rest = parsed.filter("tokens = 0").select("page_id", "url", "zones", "core", "rest", F.lit(None).cast("array<int>").alias("starts"))
     done = some.unionByName(rest).mapInArrow(_texts(least), f"page_id {kinds['page_id']}, url string, text string, n_repeated long")
     return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated")
