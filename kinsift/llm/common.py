@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel works on at a time; one longer text is worked on alone.
@@ -80,3 +80,20 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     hit = rows.join(F.broadcast(hot), keys)
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
     return hit.unionByName(rest)
+
+
+def left_join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], values: list[str], size: str, total: int, only: Column, share: int = 1000) -> DataFrame:
+    """``rows`` with the columns ``values`` of their group, null where there is none or ``only`` does not hold.
+
+    Like :func:`join_groups`, but ``rows`` are computed once: what broadcast groups have settled, and rows that
+    need no group, are spread over the shuffle by their place instead of their key.
+    """
+    bound = max(1, total // share)
+    hot = groups.filter(F.col(size) > bound).select(*keys, *(F.col(v).alias(f"_hot_{v}") for v in values), F.lit(True).alias("_hot"))
+    cold = groups.filter(F.col(size) <= bound).select(*keys, *values, F.lit(0).cast("long").alias("_spread"))
+    away = F.coalesce(~only, F.lit(True)) | F.coalesce(F.col("_hot"), F.lit(False))
+    both = rows.join(F.broadcast(hot), keys, "left").withColumn("_spread", F.when(away, F.monotonically_increasing_id() + 1).otherwise(0).cast("long"))
+    both = both.join(cold, [*keys, "_spread"], "left").drop("_spread", "_hot")
+    for v in values:
+        both = both.withColumn(v, F.when(only, F.coalesce(F.col(f"_hot_{v}"), F.col(v)))).drop(f"_hot_{v}")
+    return both

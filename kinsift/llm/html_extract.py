@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinsift.llm.common import TEXT_ROWS, join_groups, release, slices, trim
+from kinsift.llm.common import TEXT_ROWS, left_join_groups, release, slices, trim
 from kinsift.llm.suffix_dedup import suffix_array
 from kinsift.sources.scratch import keep_ids, materialise
 
@@ -422,9 +422,8 @@ def assemble(zones: str, core: str, rest: str, starts: list[int] | None, least:
 def _texts(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts = batch.column("starts") if "starts" in batch.schema.names else pa.nulls(batch.num_rows)
-            columns = [batch.column(c).to_pylist() for c in ("zones", "core", "rest")]
-            done = [assemble(z, _unpack(c), r, s, least) for z, c, r, s in zip(*columns, starts.to_pylist())]
+            columns = [batch.column(c).to_pylist() for c in ("zones", "core", "rest", "starts")]
+            done = [assemble(z, _unpack(c), r, s, least) for z, c, r, s in zip(*columns)]
             texts, counts = pa.array([t for t, _ in done], pa.string()), pa.array([k for _, k in done], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), texts, counts], names=["page_id", "url", "text", "n_repeated"])
 
@@ -457,7 +456,6 @@ def extract(pages: DataFrame, least: int = 12, shard_tokens: int = SHARD_TOKENS,
         whole = whole.unionByName(dealt.groupBy("host", "shard").cogroup(hits.groupBy("host", "shard")).applyInArrow(_apply(least), _FOUND))
     found = materialise(whole, "html-found", TEXT_ROWS)
 
-    some = join_groups(parsed.filter("tokens > 0"), found, key, "copies", seen.count()).select("page_id", "url", "zones", "core", "rest", "starts")
-    rest = parsed.filter("tokens = 0").select("page_id", "url", "zones", "core", "rest", F.lit(None).cast("array<int>").alias("starts"))
-    done = some.unionByName(rest).mapInArrow(_texts(least), f"page_id {kinds['page_id']}, url string, text string, n_repeated long")
+    rows = left_join_groups(parsed, found, key, ["starts"], "copies", seen.count(), F.col("tokens") > 0).select("page_id", "url", "zones", "core", "rest", "starts")
+    done = rows.mapInArrow(_texts(least), f"page_id {kinds['page_id']}, url string, text string, n_repeated long")
     return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated")
