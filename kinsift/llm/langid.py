@@ -82,24 +82,23 @@ def _counts(languages: list[str]):
     where = {x: i for i, x in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), BUCKETS), np.int64)
+        total = None  # partitions without a sampled row send nothing
         for batch in batches:
             for part in slices(batch, "text"):
+                if total is None:
+                    total = np.zeros(len(languages) * BUCKETS, np.int64)
                 g = _Grams(part.column("text"))
                 lang = np.array([where[x] for x in part.column("lang").to_pylist()], dtype=np.int64)
                 own = np.repeat(lang, np.diff(g.first))
                 if len(g.word):
-                    total += np.bincount(own[g.word] * BUCKETS + g.bucket, minlength=total.size).reshape(total.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(languages)), pa.int32()), pa.array([t.astype("<i8").tobytes() for t in total], pa.binary())], names=["lang", "counts"])
+                    total += np.bincount(own[g.word] * BUCKETS + g.bucket, minlength=total.size)
+        if total is not None:
+            cell = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], names=["cell", "n"])
 
     return run
 
 
-def _add(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, "<i8") for x in table.column("counts").to_pylist())
-    return pa.table({"lang": table.column("lang").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
-
-
 def fit(docs: DataFrame, most_rows: int = 20_000, smoothing: float = 0.5) -> LanguageModel:
     """Learn from rows with a text and a language (columns text, lang, doc_id).
 
@@ -114,10 +113,10 @@ def fit(docs: DataFrame, most_rows: int = 20_000, smoothing: float = 0.5) -> Lan
     share = min(1.0, most_rows / sum(per.values()))
     bound = int(share * (1 << 40))
     sample = labelled.filter(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("language sample")), 24) <= bound).select("text", "lang")
-    counted = sample.mapInArrow(_counts(languages), "lang int, counts binary").groupBy("lang").applyInArrow(_add, "lang int, counts binary").collect()
-    counts = np.zeros((len(languages), BUCKETS))
-    for r in counted:
-        counts[r.lang] = np.frombuffer(r.counts, "<i8")
+    counted = sample.mapInArrow(_counts(languages), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(len(languages) * BUCKETS)  # one line for each cell of the table at most
+    counts[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
+    counts = counts.reshape(len(languages), BUCKETS)
     counts += smoothing
     table = np.log(counts / counts.sum(axis=1, keepdims=True))
     return LanguageModel(tuple(languages), np.ascontiguousarray(table.T, dtype=np.float32))
