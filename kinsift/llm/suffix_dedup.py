@@ -6,15 +6,17 @@ starts of a string meet under the same key, and runs of neighbouring strings tha
 *segment* of at most two string lengths.
 
 1. *Anchors.*  One pass over whole texts finds the segments and for each a key (hash of the anchor and the text on the
-   side where its strings reach further) and a digest of its bytes.  Only these numbers are shuffled.
-2. *Counting.*  A key that occurs once holds nothing repeated.  Under a key with one digest all segments are equal, so
-   all their bytes repeat.  What remains are keys whose segments differ: the edges of repeated passages.
-3. *Shards.*  Each distinct segment of those keys is sent once, with its multiplicity, to the shard of its key.  A
-   shard sorts the suffixes of its text by Larsson-Sadakane refinement (only unsorted groups are refined, with ranks at
-   doubled distance), gets common prefixes by Kasai's rule with all segments in parallel, and reads off which strings
-   start twice.
-4. *Merging across shards.*  Keys with very many segments are dealt to several shards; these send the sorted digests
-   of their strings to owners of digest ranges, which find strings of other shards by binary search.
+   side where its strings reach further) and a digest of its bytes.  Only these numbers are shuffled.  Equal rows
+   (same id and text) are one row with a weight.  A key that occurs once holds nothing repeated.
+2. *Bytes.*  The segments of all other keys are read from their texts and counted by their bytes, pre-aggregated on
+   the map side; segments of one key and digest but different bytes would end the run.
+3. *Shards.*  Each distinct segment is sent once, with its multiplicity, to the shard of its key.  A shard sorts the
+   suffixes of its text by Larsson-Sadakane refinement (only unsorted groups are refined, with ranks at doubled
+   distance), gets common prefixes by Kasai's rule with all segments in parallel, and reads off which strings start
+   twice.
+4. *Merging across shards.*  Keys with very many segments are dealt to several shards; these send one line for each of
+   their strings, by digest, to owners of digest ranges, which find strings of other shards by binary search.  What
+   they find is compared by its bytes.
 5. *Removal.*  Repeated runs go back to their documents, where they are united and cut out.
 
 Defined results: null texts are empty; texts shorter than ``length`` lose nothing; repeated rows are documents of
@@ -112,7 +114,7 @@ def _scan(length: int):
                 count = np.bincount(text, minlength=part.num_rows)
                 cuts = pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (key, digest, (first << 8) | (last - first))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("u"), pa.array(serial + np.arange(part.num_rows)), *lists], names=["doc_id", "u", "ref", "keys", "digests", "places"])
+                yield pa.RecordBatch.from_arrays([part.column("k"), part.column("u"), pa.array(serial + np.arange(part.num_rows)), *lists], names=["k", "u", "ref", "keys", "digests", "places"])
                 serial += part.num_rows
 
     return run
@@ -206,9 +208,6 @@ def _shard(length: int):
 
     def run(table: pa.Table) -> pa.Table:
         release()
-        # repeated rows of one document send the same segment each
-        pair = np.stack([table.column(c).to_numpy() for c in ("key", "digest")], axis=1)
-        table = table.take(pa.array(np.unique(pair, axis=0, return_index=True)[1])).combine_chunks()
         raw = table.column("raw").to_pylist()
         many = table.column("many").to_numpy()
         split = table.column("split").to_numpy()
@@ -226,17 +225,21 @@ def _shard(length: int):
         inside = np.concatenate(([0], np.cumsum(size - length + 1)))
         flags = twice[valid]
         first, last = _runs(flags, inside)
-        w1 = [None] * len(raw)
-        w2 = [None] * len(raw)
+        w1, w2, at = ([None] * len(raw) for _ in range(3))
         if split.any():
             one, two = _Prefix(text), _Prefix(text, "second", _BASE2, _INV2)
             start = np.flatnonzero(valid)
+            # one line for each string: of one that stands here more than once all starts are found already
+            start = np.sort(start[np.unique(run_of[start], return_index=True)[1]])
+            start = start[split[owner[start]]]
             a, b = one(start, start + length).view(np.int64), two(start, start + length).view(np.int64)
+            per = np.searchsorted(start, cuts)
             for i in np.flatnonzero(split):
-                w1[i], w2[i] = a[inside[i] : inside[i + 1]], b[inside[i] : inside[i + 1]]
+                own = slice(per[i], per[i + 1])
+                w1[i], w2[i], at[i] = a[own], b[own], start[own] - cuts[i]
         longs = pa.list_(pa.int64())
         trim()
-        return pa.table({"key": table.column("key"), "digest": table.column("digest"), "shard": table.column("shard"), "first": pa.array(first, longs), "last": pa.array(last, longs), "w1": pa.array(w1, longs), "w2": pa.array(w2, longs)})
+        return pa.table({"key": table.column("key"), "digest": table.column("digest"), "shard": table.column("shard"), "first": pa.array(first, longs), "last": pa.array(last, longs), "w1": pa.array(w1, longs), "w2": pa.array(w2, longs), "at": pa.array(at, longs)})
 
     return run
 
@@ -253,7 +256,7 @@ def _merge(table: pa.Table) -> pa.Table:
         own = np.flatnonzero(both[:, 2] == s)
         hit[own] = np.searchsorted(code, code[own], side="right") - np.searchsorted(code, code[own], side="left") > 1
     keep = pa.array(hit[seen.ravel()])
-    return table.select(["key", "digest", "at"]).filter(keep)
+    return table.select(["w1", "w2", "key", "digest", "at"]).filter(keep)
 
 
 def _bytes(length: int):
@@ -262,15 +265,14 @@ def _bytes(length: int):
             for part in slices(batch, "text"):
                 data, offsets = text_buffer(part.column("text"))
                 wanted = part.column("wanted").to_pylist()
-                out: dict[str, list] = {"key": [], "digest": [], "many": [], "raw": []}
+                out: dict[str, list] = {"key": [], "digest": [], "raw": []}
                 for i, items in enumerate(wanted):
                     for x in items:
                         a = offsets[i] + (x["place"] >> 8)
                         out["key"].append(x["key"])
                         out["digest"].append(x["digest"])
-                        out["many"].append(x["many"])
                         out["raw"].append(data[a : a + (x["place"] & 255) + length].tobytes())
-                kinds = {"key": pa.int64(), "digest": pa.int64(), "many": pa.int64(), "raw": pa.binary()}
+                kinds = {"key": pa.int64(), "digest": pa.int64(), "raw": pa.binary()}
                 yield pa.RecordBatch.from_arrays([pa.array(out[k], kinds[k]) for k in kinds], names=list(kinds))
 
     return run
@@ -320,50 +322,61 @@ def suffix_dedup(docs: DataFrame, length: int = 200, spans_out: bool = False, ke
     if not GRAM < length <= GRAM + 256:
         raise ValueError("length must be over 40 and at most 296")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("u", F.xxhash64("text"))
-    scanned = materialise(docs.mapInArrow(_scan(length), "doc_id long, u long, ref long, keys array<long>, digests array<long>, places array<long>"), "suffix-scan", TEXT_ROWS)
-    rows = scanned.select("ref", F.posexplode("keys").alias("i", "key"), "digests", "places").select("ref", "key", F.get("digests", F.col("i")).alias("digest"), F.get("places", F.col("i")).alias("place"))
-    keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("digest").alias("d0"), F.max("digest").alias("d1")).filter("n > 1")
-    keys = materialise(keys.select("key", "n", (F.col("d0") != F.col("d1")).alias("mixed")), "suffix-keys")
+    # equal rows have equal (k, u); a null id is as good as any other number here
+    docs = docs.withColumns({"k": F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")), "u": F.xxhash64("text")})
+    scanned = materialise(docs.select("k", "u", "text").mapInArrow(_scan(length), "k long, u long, ref long, keys array<long>, digests array<long>, places array<long>"), "suffix-scan", TEXT_ROWS)
+    spare = materialise(scanned.groupBy("k", "u").agg(F.min("ref").alias("first"), F.count("*").alias("n")).filter("n > 1"), "suffix-spare")
+    extra = materialise(join_groups(scanned.select("k", "u", "ref"), spare, ["k", "u"], "n", scanned.count()).filter("ref <> first").select("ref"), "suffix-extra")
+    sole = keep_ids(scanned, extra, "ref", "left_anti")
+    sole = sole.join(_sized(spare.select(F.col("first").alias("ref"), F.col("n").alias("weight"))), "ref", "left")
+    rows = sole.select("ref", F.coalesce("weight", F.lit(1)).alias("weight"), F.posexplode("keys").alias("i", "key"), "digests", "places").select("ref", "weight", "key", F.get("digests", F.col("i")).alias("digest"), F.get("places", F.col("i")).alias("place"))
+    keys = materialise(rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("weight").alias("weight")).filter("weight > 1").select("key", "n"), "suffix-keys")
     total = scanned.agg(F.sum(F.size("keys")).alias("n")).first().n or 0
-    suspects = materialise(join_groups(rows, keys, ["key"], "n", total), "suffix-suspects")
-    whole = suspects.filter("NOT mixed").select("ref", F.shiftright("place", 8).alias("a"), (F.shiftright("place", 8) + F.col("place").bitwiseAND(255) + length).alias("z"))
-
-    # keys whose segments differ: each distinct segment once
-    edges = suspects.filter("mixed")
-    distinct = materialise(edges.groupBy("key", "digest").agg(F.count("*").alias("many"), F.min(F.struct("ref", "place")).alias("at")), "suffix-distinct")
+    suspects = materialise(join_groups(rows.drop("weight"), keys, ["key"], "n", total).drop("n"), "suffix-suspects")
+
+    # distinct segments by their bytes
+    refs = keep_ids(scanned.select("ref", "k", "u"), extra, "ref", "left_anti")
+    wanted = suspects.groupBy("ref").agg(F.collect_list(F.struct("key", "digest", "place")).alias("wanted"))
+    wanted = materialise(wanted.join(refs, "ref").select("k", "u", "wanted"), "suffix-wanted")
+    raw = _with_rows(docs.drop("doc_id"), wanted).select("text", "wanted").mapInArrow(_bytes(length), "key long, digest long, raw binary")
+    distinct = materialise(raw.groupBy("key", "digest", "raw").agg(F.count("*").alias("many")), "suffix-distinct", TEXT_ROWS)
+    if distinct.groupBy("key", "digest").count().filter("count > 1").limit(1).count():
+        raise RuntimeError("two segments share a key and a digest")
     dealt = distinct.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > key_segments).select("key", F.ceil(F.col("c") / key_segments).cast("int").alias("salts"))
     dealt = materialise(dealt, "suffix-dealt")
-    refs = scanned.select("ref", "doc_id", "u")
-    wanted = distinct.select(F.col("at.ref").alias("ref"), F.struct("key", "digest", "many", F.col("at.place").alias("place")).alias("x")).groupBy("ref").agg(F.collect_list("x").alias("wanted"))
-    wanted = materialise(wanted.join(refs, "ref").groupBy("doc_id", "u").agg(F.flatten(F.collect_list("wanted")).alias("wanted")), "suffix-wanted")
-    raw = materialise(_with_rows(docs, wanted).mapInArrow(_bytes(length), "key long, digest long, many long, raw binary"), "suffix-raw", TEXT_ROWS)
-    total = raw.agg(F.sum(F.length("raw"))).first()[0] or 0
-    shards = max(1, -(-int(total) // SHARD_BYTES))
-    sharded = raw.join(dealt, "key", "left").withColumn("split", F.col("salts").isNotNull()).withColumn("shard", F.when(F.col("split"), -1 - F.pmod(F.xxhash64("key", F.pmod("digest", "salts")), F.lit(1 << 40))).otherwise(F.pmod("key", F.lit(shards))).cast("long"))
-    found = materialise(sharded.select("shard", "key", "digest", "many", "split", "raw").groupBy("shard").applyInArrow(_shard(length), "key long, digest long, shard long, first array<long>, last array<long>, w1 array<long>, w2 array<long>"), "suffix-found")
+    told = distinct.agg(F.sum(F.length("raw")).alias("size"), F.sum("many").alias("many")).first()
+    shards = max(1, -(-int(told.size or 0) // SHARD_BYTES))
+    sharded = distinct.join(_sized(dealt), "key", "left").withColumn("split", F.col("salts").isNotNull()).withColumn("shard", F.when(F.col("split"), -1 - F.pmod(F.xxhash64("key", F.pmod("digest", "salts")), F.lit(1 << 40))).otherwise(F.pmod("key", F.lit(shards))).cast("long"))
+    found = sharded.select("shard", "key", "digest", "many", "split", "raw").groupBy("shard").applyInArrow(_shard(length), "key long, digest long, shard long, first array<long>, last array<long>, w1 array<long>, w2 array<long>, at array<long>")
+    found = materialise(found, "suffix-found")
     repeated = found.select("key", "digest", F.explode(F.arrays_zip("first", "last")).alias("r")).select("key", "digest", F.col("r.first").alias("first"), F.col("r.last").alias("last"))
 
     # strings of split keys, merged across shards
-    sent = found.filter("w1 IS NOT NULL").select("key", "digest", "shard", F.posexplode(F.arrays_zip("w1", "w2")).alias("at", "w")).select("key", "digest", "shard", "at", F.col("w.w1").alias("w1"), F.col("w.w2").alias("w2"))
+    sent = found.filter("w1 IS NOT NULL").select("key", "digest", "shard", F.explode(F.arrays_zip("w1", "w2", "at")).alias("w")).select("key", "digest", "shard", F.col("w.at").alias("at"), F.col("w.w1").alias("w1"), F.col("w.w2").alias("w2"))
     strings = found.agg(F.sum(F.size("w1")).alias("n")).first().n or 0
-    merged = sent.withColumn("owner", F.pmod("w1", F.lit(max(16, strings // 500_000)))).groupBy("owner").applyInArrow(_merge, "key long, digest long, at int").select("key", "digest", F.col("at").cast("long").alias("first"), F.col("at").cast("long").alias("last"))
+    merged = sent.withColumn("owner", F.pmod("w1", F.lit(max(16, strings // 500_000)))).groupBy("owner").applyInArrow(_merge, "w1 long, w2 long, key long, digest long, at long")
+    said = merged.join(distinct.select("key", "digest", "raw"), ["key", "digest"]).withColumn("said", F.expr(f"substring(raw, CAST(at + 1 AS INT), {length})"))
+    differ = F.when(F.min("said") != F.max("said"), F.raise_error(F.lit("two strings share a digest"))).otherwise(F.collect_list(F.struct("key", "digest", "at")))  # one of each shard
+    merged = said.groupBy("w1", "w2").agg(differ.cast("array<struct<key:long,digest:long,at:long>>").alias("x")).select(F.explode("x").alias("x")).select("x.key", "x.digest", F.col("x.at").alias("first"), F.col("x.at").alias("last"))
 
     ranges = repeated.unionByName(merged).groupBy("key", "digest").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     ranges = materialise(ranges.join(distinct.select("key", "digest", "many"), ["key", "digest"]), "suffix-ranges")
-    some = join_groups(edges, ranges, ["key", "digest"], "many", edges.count()).select("ref", "place", F.explode("ranges").alias("r"))
+    some = join_groups(suspects, ranges, ["key", "digest"], "many", told.many or 0).select("ref", "place", F.explode("ranges").alias("r"))
     some = some.select("ref", (F.shiftright("place", 8) + F.col("r.first")).alias("a"), (F.shiftright("place", 8) + F.col("r.last") + length).alias("z"))
-    spans = whole.unionByName(some).groupBy("ref").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
-    spans = materialise(spans.join(refs, "ref").groupBy("doc_id", "u").agg(F.flatten(F.collect_list("spans")).alias("spans")), "suffix-spans")
+    spans = materialise(some.groupBy("ref").agg(F.collect_list(F.struct("a", "z")).alias("spans")).join(refs, "ref").select("k", "u", "spans"), "suffix-spans")
 
     out = _RESULT + (", spans array<struct<start:long,end:long>>" if spans_out else "")
-    touched = _with_rows(docs, spans).mapInArrow(_cut(length, spans_out), out)
-    clean = keep_ids(docs.withColumn("k", F.struct("doc_id", "u")), spans.select(F.struct("doc_id", "u").alias("k")), "k", "left_anti").select("doc_id", "text").mapInArrow(_cut(length, spans_out), out)
+    touched = _with_rows(docs, spans).select("doc_id", "text", "spans").mapInArrow(_cut(length, spans_out), out)
+    clean = keep_ids(docs.withColumn("ku", F.struct("k", "u")), spans.select(F.struct("k", "u").alias("ku")), "ku", "left_anti").select("doc_id", "text").mapInArrow(_cut(length, spans_out), out)
     return touched.unionByName(clean)
 
 
+def _sized(df: DataFrame, small: int = 500_000) -> DataFrame:
+    """A materialised table, marked for broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= small else df
+
+
 def _with_rows(docs: DataFrame, lists: DataFrame) -> DataFrame:
-    """Documents that have a line in ``lists`` (materialised; doc_id, u and a list), with that list."""
-    some = keep_ids(docs.withColumn("k", F.struct("doc_id", "u")), lists.select(F.struct("doc_id", "u").alias("k")), "k", "left_semi").drop("k")
-    right = lists.withColumnRenamed("doc_id", "_d").withColumnRenamed("u", "_u")
-    return some.join(right, some["doc_id"].eqNullSafe(right["_d"]) & (some["u"] == right["_u"])).drop("_d", "_u", "u")
+    """Documents that have a line in ``lists`` (materialised; k, u and a list), with that list."""
+    some = keep_ids(docs.withColumn("ku", F.struct("k", "u")), lists.select(F.struct("k", "u").alias("ku")), "ku", "left_semi").drop("ku")
+    return some.join(lists, ["k", "u"])
