@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinsift.llm.common import TEXT_ROWS, join_groups, release, slices, trim
+from kinsift.llm.common import CHUNK_BYTES, TEXT_ROWS, join_groups, release, slices, trim
 from kinsift.llm.shingles import _BASE, _INV, _powers, mix64, text_buffer
 from kinsift.sources.scratch import keep_ids, materialise
 
@@ -141,25 +141,21 @@ def suffix_array(text: np.ndarray, wide: bool = False, enough: int | None = None
     rank = np.empty(n, np.int64)
     at = np.flatnonzero(head)
     rank[order] = np.repeat(at, np.diff(np.append(at, n))) + 1  # 0 is beyond the end
-    while True:
-        size = np.diff(np.append(at, n))
-        open_ = np.repeat(size > 1, size)  # places in the order whose groups are not single
-        spot = np.flatnonzero(open_)
-        if not len(spot) or enough and reach >= enough:
-            break
+    size = np.diff(np.append(at, n))
+    spot = np.flatnonzero(np.repeat(size > 1, size))  # places in the order whose groups are not single
+    while len(spot) and not (enough and reach >= enough):
         p = order[spot]
-        group = rank[p]
         beyond = p + reach
         # a suffix that ends before the distance comes before all that go on, the shorter first
         second = np.where(beyond < n, rank[np.minimum(beyond, n - 1)] + reach, n - p)
-        by = np.argsort(group * (n + reach + 2) + second, kind="stable")
-        p, group, second = p[by], group[by], second[by]
+        key = rank[p] * (n + reach + 2) + second
+        by = np.argsort(key, kind="stable")
+        p, key = p[by], key[by]
         order[spot] = p
-        split = np.zeros(len(spot), bool)
-        split[1:] = (group[1:] == group[:-1]) & (second[1:] != second[:-1])
-        head[spot[split]] = True
-        at = np.flatnonzero(head)
-        rank[order] = np.repeat(at, np.diff(np.append(at, n))) + 1
+        fresh = np.concatenate(([True], key[1:] != key[:-1]))
+        group = np.cumsum(fresh) - 1
+        rank[p] = spot[fresh][group] + 1
+        spot = spot[np.bincount(group)[group] > 1]
         reach *= 2
     return order
 
@@ -193,14 +189,15 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, cuts: np.ndarray, most:
     return found[order]
 
 
-def _runs(flags: np.ndarray, cuts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _runs(flags: np.ndarray, cuts: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """First and last places of the runs of ``flags`` in each stretch, relative to the stretch."""
-    first, last = [], []
-    for a, z in zip(cuts[:-1], cuts[1:]):
-        edge = np.diff(flags[a:z].astype(np.int8), prepend=0, append=0)
-        first.append(np.flatnonzero(edge == 1))
-        last.append(np.flatnonzero(edge == -1) - 1)
-    return first, last
+    begins = np.zeros(len(flags) + 1, bool)
+    begins[cuts] = True
+    first = np.flatnonzero(flags & (begins[:-1] | np.concatenate(([True], ~flags[:-1]))))
+    last = np.flatnonzero(flags & (begins[1:] | np.concatenate((~flags[1:], [True]))))
+    stretch = np.searchsorted(cuts, first, side="right") - 1
+    stops = pa.array(np.searchsorted(first, cuts).astype(np.int32))
+    return tuple(pa.ListArray.from_arrays(stops, pa.array(x - cuts[stretch])) for x in (first, last))
 
 
 def _shard(length: int):
@@ -239,7 +236,7 @@ def _shard(length: int):
                 w1[i], w2[i], at[i] = a[own], b[own], start[own] - cuts[i]
         longs = pa.list_(pa.int64())
         trim()
-        return pa.table({"key": table.column("key"), "digest": table.column("digest"), "shard": table.column("shard"), "first": pa.array(first, longs), "last": pa.array(last, longs), "w1": pa.array(w1, longs), "w2": pa.array(w2, longs), "at": pa.array(at, longs)})
+        return pa.table({"key": table.column("key"), "digest": table.column("digest"), "shard": table.column("shard"), "first": first, "last": last, "w1": pa.array(w1, longs), "w2": pa.array(w2, longs), "at": pa.array(at, longs)})
 
     return run
 
@@ -264,16 +261,21 @@ def _bytes(length: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 data, offsets = text_buffer(part.column("text"))
-                wanted = part.column("wanted").to_pylist()
-                out: dict[str, list] = {"key": [], "digest": [], "raw": []}
-                for i, items in enumerate(wanted):
-                    for x in items:
-                        a = offsets[i] + (x["place"] >> 8)
-                        out["key"].append(x["key"])
-                        out["digest"].append(x["digest"])
-                        out["raw"].append(data[a : a + (x["place"] & 255) + length].tobytes())
-                kinds = {"key": pa.int64(), "digest": pa.int64(), "raw": pa.binary()}
-                yield pa.RecordBatch.from_arrays([pa.array(out[k], kinds[k]) for k in kinds], names=list(kinds))
+                wanted = part.column("wanted")
+                items = wanted.flatten()
+                place = items.field("place").to_numpy()
+                start = np.repeat(offsets[:-1], wanted.value_lengths().to_numpy()) + (place >> 8)
+                size = (place & 255) + length
+                stop = np.cumsum(size)
+                at = 0
+                while at < len(size):  # a long text has more bytes of segments than one array should hold
+                    to = max(at + 1, int(np.searchsorted(stop, stop[at] + CHUNK_BYTES)))
+                    n, ends = size[at:to], np.cumsum(size[at:to])
+                    raw = data[np.repeat(start[at:to] - ends + n, n) + np.arange(ends[-1])]
+                    cuts = np.concatenate(([0], ends)).astype(np.int32)
+                    segment = pa.BinaryArray.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(cuts), pa.py_buffer(raw)])
+                    yield pa.RecordBatch.from_arrays([items.field("key")[at:to], items.field("digest")[at:to], segment], names=["key", "digest", "raw"])
+                    at = to
 
     return run
 

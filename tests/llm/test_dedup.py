@@ -147,6 +147,14 @@ def test_strings(spark, split, length):
     assert sorted(map(tuple, got), key=str) == brute_strings(rows, length)
 
 
+def test_strings_of_many_equal_rows(spark):
+    text = words(random.Random(2), 70, 10**6)
+    rows = [(1, text)] * 1000 + [(None, text)] * 3 + [(2, text + " " + words(random.Random(3), 400, 10**6))]
+    got = suffix_dedup.suffix_dedup(docs(spark, rows), 200, spans_out=True)
+    assert sorted(map(tuple, got.drop("spans").collect()), key=str) == brute_strings(rows, 200)
+    assert got.filter("size(spans) <> 1").count() == 0
+
+
 def test_string_spans(spark):
     text = "abcdefghij" * 30
     rows = suffix_dedup.suffix_dedup(docs(spark, [(1, "0" + text), (2, text + "1"), (3, "x" * 50)]), 120, spans_out=True).orderBy("doc_id").collect()
