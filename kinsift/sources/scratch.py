@@ -68,7 +68,16 @@ def materialise(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
     with arrow_rows(spark, rows):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads again; Spark drops the shuffles of steps that are done."""
+    for df in tables:
+        _remove(df.sparkSession, df._scratch_path)
+    tables[0].sparkSession._jvm.System.gc()  # its cleaner follows the collector
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, column: str, how: str, small: int = 500_000) -> DataFrame:
