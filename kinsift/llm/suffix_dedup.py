@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from kinsift.llm.common import CHUNK_BYTES, TEXT_ROWS, join_groups, release, slices, trim
 from kinsift.llm.shingles import _BASE, _INV, _powers, mix64, text_buffer
-from kinsift.sources.scratch import keep_ids, materialise
+from kinsift.sources.scratch import discard, keep_ids, materialise
 
 #: Bytes of the gram that is the anchor.
 GRAM = 40
@@ -336,12 +336,15 @@ def suffix_dedup(docs: DataFrame, length: int = 200, spans_out: bool = False, ke
     total = scanned.agg(F.sum(F.size("keys")).alias("n")).first().n or 0
     suspects = materialise(join_groups(rows.drop("weight"), keys, ["key"], "n", total).drop("n"), "suffix-suspects")
 
+    refs = materialise(keep_ids(scanned.select("ref", "k", "u"), extra, "ref", "left_anti"), "suffix-refs")
+    discard(scanned, extra, spare, keys)
+
     # distinct segments by their bytes
-    refs = keep_ids(scanned.select("ref", "k", "u"), extra, "ref", "left_anti")
     wanted = suspects.groupBy("ref").agg(F.collect_list(F.struct("key", "digest", "place")).alias("wanted"))
     wanted = materialise(wanted.join(refs, "ref").select("k", "u", "wanted"), "suffix-wanted")
     raw = _with_rows(docs.drop("doc_id"), wanted).select("text", "wanted").mapInArrow(_bytes(length), "key long, digest long, raw binary")
     distinct = materialise(raw.groupBy("key", "digest", "raw").agg(F.count("*").alias("many")), "suffix-distinct", TEXT_ROWS)
+    discard(wanted)
     if distinct.groupBy("key", "digest").count().filter("count > 1").limit(1).count():
         raise RuntimeError("two segments share a key and a digest")
     dealt = distinct.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > key_segments).select("key", F.ceil(F.col("c") / key_segments).cast("int").alias("salts"))
@@ -363,9 +366,11 @@ def suffix_dedup(docs: DataFrame, length: int = 200, spans_out: bool = False, ke
 
     ranges = repeated.unionByName(merged).groupBy("key", "digest").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     ranges = materialise(ranges.join(distinct.select("key", "digest", "many"), ["key", "digest"]), "suffix-ranges")
+    discard(distinct, dealt, found)
     some = join_groups(suspects, ranges, ["key", "digest"], "many", told.many or 0).select("ref", "place", F.explode("ranges").alias("r"))
     some = some.select("ref", (F.shiftright("place", 8) + F.col("r.first")).alias("a"), (F.shiftright("place", 8) + F.col("r.last") + length).alias("z"))
     spans = materialise(some.groupBy("ref").agg(F.collect_list(F.struct("a", "z")).alias("spans")).join(refs, "ref").select("k", "u", "spans"), "suffix-spans")
+    discard(suspects, ranges, refs)
 
     out = _RESULT + (", spans array<struct<start:long,end:long>>" if spans_out else "")
     touched = _with_rows(docs, spans).select("doc_id", "text", "spans").mapInArrow(_cut(length, spans_out), out)
