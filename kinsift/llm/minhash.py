@@ -11,8 +11,9 @@
 4. *Rest.*  Short lists that still hold several components are compared in full.  Classes of long ones are *crowded*:
    for them the lists are built anew from their full sets, where a class must share 80 % (the similarity) of its
    shingles with other crowded classes to take part at all, and only the rarest fifth of its values are keys.  What
-   these lists still leave open is compared in blocks of bounded size, so no list meets in one task and no pair is
-   given up.
+   these lists still leave open is compared in cells of two blocks.  A component of more than a block has blocks of its
+   own, and cells inside it are left out; so the cells of a list grow with what is not joined yet, no list meets in one
+   task and no pair is given up.
    A pair counts if set sizes allow the similarity and the union sketch shows enough matches; then the exact
    Jaccard of the full shingle sets decides, in integers.
 5. *Components* of the links by large-star/small-star rounds.
@@ -35,12 +36,14 @@ from pyspark.sql import functions as F
 from kinsift.llm.common import TEXT_ROWS, join_groups, release, slices, trim
 from kinsift.llm.shingles import Words, shingle_hashes, text_buffer
 from kinsift.operators.graph import connected_components, spanning_roots
-from kinsift.sources.scratch import keep_ids, materialise
+from kinsift.sources.scratch import discard, keep_ids, materialise
 
 #: Classes of one list that a block comparison holds on either side.
 BLOCK = 512
 #: Lists up to so many classes are compared in full by their sketches.
 SHORT = 32
+#: Pairs of one class that are joined with its sketch or set under one key.
+FAN = 2048
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -165,18 +168,34 @@ def _block_links(percent: int):
     return run
 
 
+def _beside(pairs: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """Join of pairs with the table of one of their ends; the line of an end with many pairs stands under several keys."""
+    hot = materialise(pairs.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > FAN).select(key, F.ceil(F.col("n") / FAN).cast("int").alias("salts")), "near-hot")
+    many = hot.count()
+    if not many:
+        return pairs.join(side, key)
+    hot = F.broadcast(hot) if many <= 500_000 else hot
+    salts = F.coalesce("salts", F.lit(1))
+    left = pairs.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64("a", "b"), salts).cast("int")).drop("salts")
+    right = side.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return left.join(right, [key, "salt"]).drop("salt")
+
+
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, k: int, least: int, percent: int) -> DataFrame:
     """Of distinct class pairs (a < b), those whose full sets reach the similarity."""
+    pairs = materialise(pairs, "near-candidates")
     left = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    near = pairs.join(left, "a").join(right, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    near = _beside(_beside(pairs, left, "a"), right, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     near = materialise(near.select("a", "b", "sa", "sb").mapInArrow(_promising(k, least), "a long, b long"), "near-pairs")
     ids = materialise(near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct(), "near-ids")
     full = keep_ids(docs, ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_full(words), "doc_id long, shingles array<long>")
     full = materialise(full, "near-sets", TEXT_ROWS)
-    both = near.join(full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa")), "a").join(full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb")), "b")
+    both = _beside(_beside(near, full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa")), "a"), full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb")), "b")
     inter = F.size(F.array_intersect("xa", "xb")).cast("long")
-    return materialise(both.filter(100 * inter >= percent * (F.size("xa") + F.size("xb") - inter)).select("a", "b"), "near-links")
+    out = materialise(both.filter(100 * inter >= percent * (F.size("xa") + F.size("xb") - inter)).select("a", "b"), "near-links")
+    discard(pairs, near, ids, full)
+    return out
 
 
 def _rarest(entries: DataFrame, need) -> DataFrame:
@@ -207,15 +226,25 @@ def _edges(parts: DataFrame) -> DataFrame:
 
 
 def _crowd_links(lists: DataFrame, parts: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """(a, b): components to join, from all pairs of different components that share a list, in blocks."""
+    """(a, b): components to join, from all pairs of different components that share a list, in cells of two blocks."""
     label, open_ = _open_lists(lists, parts, 2)
-    open_ = open_.select("v", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    member = label.join(open_, "v").withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # cell (i, j), i <= j, of block i against block j: a member of block x stands in cells (x, y) and (y, x)
-    cells = member.select("v", "id", "component", "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    side = F.when(F.col("at") == F.col("other"), 2).when(F.col("at") < F.col("other"), 0).otherwise(1)
-    cells = cells.select("v", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), side.alias("side"), "id", "component")
-    return materialise(cells.join(full, "id").groupBy("v", "i", "j").applyInArrow(_block_links(percent), "a long, b long").distinct(), "near-crowd-links")
+    member = materialise(label.join(open_.select("v"), "v"), "near-member")
+    # blocks (v, c, b): of a large component c for itself, of all small ones (c = -1) together
+    per = materialise(member.groupBy("v", "component").agg(F.count("*").alias("n")), "near-per")
+    large = per.filter(F.col("n") > BLOCK).select("v", F.col("component").alias("c"), "n")
+    small = per.filter(F.col("n") <= BLOCK).groupBy("v").agg(F.sum("n").alias("n")).select("v", F.lit(-1).cast("long").alias("c"), "n")
+    kinds = materialise(large.unionByName(small).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "near-kinds")
+    own = member.join(kinds.filter("c >= 0").select("v", F.col("c").alias("component"), F.lit(True).alias("large")), ["v", "component"], "left")
+    own = own.withColumn("c", F.when(F.col("large"), F.col("component")).otherwise(F.lit(-1)).cast("long")).join(kinds.select("v", "c", "blocks"), ["v", "c"])
+    own = own.select("v", "c", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("b"), "id", "component")
+    blocks = kinds.select("v", "c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b")).select("v", F.struct("c", "b").alias("x"))
+    cells = blocks.join(blocks.withColumnRenamed("x", "y"), "v").filter("x <= y AND (x.c <> y.c OR x.c = -1)")
+    cells = cells.withColumn("cell", F.struct("x", "y"))
+    ends = cells.filter("x < y").select("v", "cell", "y.c", "y.b", F.lit(1).alias("side")).union(cells.select("v", "cell", "x.c", "x.b", F.expr("IF(x = y, 2, 0)").alias("side")))
+    placed = own.join(ends, ["v", "c", "b"]).select("v", "cell", "side", "id", "component")
+    out = materialise(placed.join(full, "id").groupBy("v", "cell").applyInArrow(_block_links(percent), "a long, b long").distinct(), "near-crowd-links")
+    discard(label, member, per, kinds)
+    return out
 
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, k: int = 40, least: int = 15) -> DataFrame:
@@ -235,18 +264,20 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, k: int = 40,
 
     # stars: every member of a list against its smallest
     heads = lists.groupBy("v").agg(F.min("id").alias("a"), F.count("*").alias("members")).filter("members > 1")
-    stars = lists.join(heads, "v").filter("id > a").select("a", F.col("id").alias("b")).distinct()
+    stars = materialise(lists.join(heads, "v").filter("id > a").select("a", F.col("id").alias("b")).distinct(), "near-stars")
     links = _links(stars, classes, docs, words, k, least, percent)
     parts = materialise(connected_components(links, "a", "b"), "near-parts")
 
     # lists that still hold several components
     label, open_ = _open_lists(lists, parts, 3)  # stars have compared lists of two
+    open_ = materialise(open_, "near-open")
     short = label.join(open_.filter(F.col("members") <= SHORT).select("v"), "v").join(classes.select("id", "n", "sketch"), "id")
     rest = short.groupBy("v").applyInArrow(_short_pairs(k, least, percent), "a long, b long").distinct()
     more = _links(rest.join(stars, ["a", "b"], "left_anti"), classes, docs, words, k, least, percent)
 
     # classes of long ones, by their full sets
     crowd = materialise(label.join(open_.filter(F.col("members") > SHORT).select("v"), "v").select(F.col("id").alias("doc_id")).distinct(), "near-crowd")
+    discard(lists, stars, label, open_)
     full = materialise(keep_ids(docs, crowd, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_full(words), "doc_id long, shingles array<long>").withColumnRenamed("doc_id", "id"), "near-crowd-sets", TEXT_ROWS)
     entries = full.select("id", F.explode("shingles").alias("v"), F.size("shingles").alias("len"))
     lists = materialise(_rarest(entries, F.ceil(F.col("len") * percent / 100)), "near-crowd-lists")
@@ -255,10 +286,12 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, k: int = 40,
     first = _crowd_links(longest, parts, full, percent)
     parts = materialise(connected_components(_edges(parts).union(first), "a", "b"), "near-parts")
     dense = _crowd_links(lists, parts, full, percent)
+    discard(crowd, full, lists)
 
     reach = connected_components(_edges(parts).union(more).union(dense), "a", "b")
     done = classes.join(reach.withColumnRenamed("node", "id"), "id", "left").select("digest", "members", F.coalesce("component", "id").alias("component_id"))
     done = materialise(done, "near-done")
+    discard(classes)
     total = some.count()
     linked = join_groups(some.select("doc_id", "n", "digest"), done, ["digest"], "members", total).select("doc_id", "n", "component_id")
     bare = sketched.filter("NOT (n > 0 AND doc_id IS NOT NULL)").select("doc_id", "n", F.col("doc_id").alias("component_id"))
