@@ -252,3 +252,62 @@ def test_operators_agree_with_each_other(spark):
     groups = {r.doc_id: r.keep_id for r in exact_dedup.exact_dedup(df).collect()}
     parts = {r.doc_id: r.component_id for r in minhash.near_dedup(df, 4).collect()}
     assert all((groups[a] == groups[b]) <= (parts[a] == parts[b]) for a, b in itertools.combinations(groups, 2))
+
+
+EN = "the and that with from this there which would about".split()
+
+
+def odd_documents(spark):
+    """Rows that share ids, equal rows, nulls everywhere, a long text, and columns with names that stages use."""
+    rng = random.Random(4)
+    plain = [" ".join(rng.choice(EN) + rng.choice("aeiou") for _ in range(30)) for _ in range(40)]
+    rows = [(i, t, "en", f"s{i % 2}", len(t)) for i, t in enumerate(plain)]
+    rows += [(10, plain[3], "en", "s1", 1), (10, "12 34", "en", "s1", 2)]  # a copy and a document without letters, by the id of a good one
+    rows += [(50, plain[5].upper(), "en", None, 3)] * 3  # equal rows
+    rows += [(None, plain[7] + " extra", None, None, None), (None, None, None, None, None), (51, "", "en", "s0", 0)]
+    rows += [(52, " ".join(rng.choice(EN) + rng.choice("aeiou") for _ in range(60_000)), "en", "s0", 9)]
+    odd = [(*r, "x", 1, 2, {"k": "v"}) for r in rows]
+    return spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long, sha string, _row long, _id int, m map<string,string>")
+
+
+def test_stages_decide_about_rows(spark):
+    import corpus_pipeline as pipeline
+
+    docs = odd_documents(spark)
+    plain = {r.doc_id: r.text for r in docs.filter("doc_id < 40 AND n_chars > 2").collect()}
+    first = pipeline.language(spark, docs, "")
+    rows = {(r.doc_id, r.text) for r in docs.collect()}
+    assert first.columns == docs.columns and first.count() == docs.count() - 3
+    assert rows - {(r.doc_id, r.text) for r in first.collect()} == {(10, "12 34"), (None, None), (51, "")}
+    second = pipeline.exact(spark, first, "")
+    left = sorted(((r.doc_id, r.text) for r in second.collect()), key=str)
+    # (10, plain[3]) beats (3, plain[3]); one of three equal rows stays and beats (5, plain[5])
+    assert second.columns == docs.columns
+    assert left == sorted(({(r.doc_id, r.text) for r in first.collect()} - {(3, plain[3]), (5, plain[5])}), key=str)
+    third = pipeline.near(spark, second, "")
+    # no id at all is less than id 7
+    assert set(left) - {(r.doc_id, r.text) for r in third.collect()} == {(7, plain[7])}
+    assert third.count() == len(left) - 1
+    fourth = pipeline.mixture(spark, third, "")
+    copies = {}
+    for r in fourth.collect():
+        copies[r.doc_id, r.text] = copies.get((r.doc_id, r.text), 0) + 1
+    assert fourth.columns == docs.columns and max(copies.values()) <= 2 and set(copies) <= {(r.doc_id, r.text) for r in third.collect()}
+    wanted = {}
+    for r in mixing.mix(pipeline._as_documents(*pipeline.numbered(third))).collect():
+        wanted[r.size, r.source] = wanted.get((r.size, r.source), 0) + r.copies
+    got = {}
+    for r in fourth.collect():
+        got[len(r.text.split()), r.source] = got.get((len(r.text.split()), r.source), 0) + 1
+    assert got == {k: n for k, n in wanted.items() if n}
+    pieces = pipeline.packed(spark, fourth, "").collect()
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in pieces), key=str) == sorted(brute_pieces([(r.doc_id, r.text) for r in fourth.collect()], 2048), key=str)
+
+
+def test_stages_of_nothing(spark):
+    import corpus_pipeline as pipeline
+
+    docs = odd_documents(spark).filter("false")
+    for name, stage in pipeline.STAGES:
+        found = stage(spark, docs, "")
+        assert found.count() == 0 and (name == "packing" or found.columns == docs.columns)
