@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinsift.sources.scratch import materialise
+
 from kinsift.functions.text import code_terms
 
 
@@ -103,14 +105,26 @@ def register_embedder(name: str, embed) -> None:
 
 
 def make_embedder(name: str):
-    """A registered embedder; ``tfidf`` is built in as :func:`tfidf`."""
+    """A registered embedder, DataFrame (doc, text) to DataFrame (doc, embedding); ``tfidf`` is built in."""
     if name == "tfidf":
-        return tfidf
+        return tfidf_embedder
     if name not in EMBEDDERS:
         raise ValueError(f"unknown embedder {name!r}; known: {sorted([*EMBEDDERS, 'tfidf'])}")
     return EMBEDDERS[name]
 
 
+def tfidf_embedder(docs: DataFrame) -> DataFrame:
+    """(doc, embedding): TF-IDF vectors with a place for every term of all documents, terms in order.
+
+    As long as the vocabulary, so for sets of sources; large collections take the sparse weights of :func:`tfidf`.
+    """
+    weights = materialise(tfidf(docs, "doc", "text"), "tfidf-weights")
+    terms = weights.select("term").distinct().agg(F.array_sort(F.collect_list("term")).alias("terms"))
+    own = weights.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("w"))
+    every = docs.select("doc").join(own, "doc", "left").crossJoin(F.broadcast(terms))  # one row
+    return every.select("doc", F.transform("terms", lambda t: F.coalesce(F.try_element_at("w", t), F.lit(0.0))).alias("embedding"))
+
+
 def model_embedder(load, batch: int = 8):
     """Embedder of a model: ``load()`` runs once per worker and gives a function from texts to vectors."""
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,17 +84,47 @@ def read_normalised(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_model(model: DataFrame, path: str, labels: str = "family") -> str:
-    """One-row model as JSON; models of other labels than the default get a suffix.  Returns the path."""
+    """One-row model as JSON; models of other labels than the default get a suffix and a warning.  Returns the path."""
     if labels != "family":
         path += "_original_labels"
+        warnings.warn(f"a model of {labels} labels does not replace that of family labels; it goes to {path}", stacklevel=2)
     model.coalesce(1).write.mode("overwrite").json(path)
     return path
 
 
 def read_model(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.MODEL).json(path)
+    """The one row of a model file, on one line or indented; the fallback may be missing, the rest must be there."""
+    model = spark.read.schema(schemas.MODEL).json(path, multiLine=True)
+    whole = model.filter(" AND ".join(f"{c} IS NOT NULL" for c in ("signals", "lo", "hi", "weights", "threshold"))).count()
+    if whole != 1 or model.count() != 1:
+        raise ValueError(f"{path} does not hold one model")
+    return model
+
+
+def page_file(name: Column) -> Column:
+    """File name of a page."""
+    return F.concat(F.translate(name, "/\\", "__"), F.lit(".html"))
+
+
+def page_link(name: Column) -> Column:
+    """Relative link to a page's file."""
+    return F.replace(F.url_encode(page_file(name)), F.lit("+"), F.lit("%20"))
 
 
 def write_pages(pages: DataFrame, path: str) -> None:
-    """(name, html) as one text table by name."""
-    pages.select("name", F.col("html").alias("value")).write.mode("overwrite").partitionBy("name").option("lineSep", "\n").text(path)
+    """(name, html) as files ``<name>.html`` in the folder ``path``, written by the executors.
+
+    A repeated attempt writes the same file again.
+    """
+    from pyarrow import fs
+
+    where, root = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
+    where.create_dir(root, recursive=True)
+
+    def write(rows) -> None:
+        own, _ = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
+        for row in rows:
+            with own.open_output_stream(f"{root}/{row.file}") as out:
+                out.write(row.html.encode())
+
+    pages.select(page_file(F.col("name")).alias("file"), "html").foreachPartition(write)

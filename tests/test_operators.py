@@ -90,7 +90,8 @@ def test_embedders(spark):
     signals.register_embedder("lengths", signals.model_embedder(lambda: lambda texts: [[len(t)] for t in texts], batch=2))
     docs = spark.createDataFrame([(i, "x" * i) for i in range(5)], "doc long, text string")
     assert {r.doc: r.embedding for r in signals.make_embedder("lengths")(docs).collect()} == {i: [float(i)] for i in range(5)}
-    assert signals.make_embedder("tfidf") is signals.tfidf
+    got = {r.doc: r.embedding for r in signals.make_embedder("tfidf")(docs).collect()}
+    assert len(got) == 5 and {len(v) for v in got.values()} == {4} and got[0] == [0.0] * 4 and sorted(got[2]) == [0.0, 0.0, 0.0, 1.0]
     with pytest.raises(ValueError):
         signals.make_embedder("none")
 

@@ -1,11 +1,14 @@
 """Files, whole runs, evidence, streaming and the catalogue."""
 
+import json
 import os
+import re
+import urllib.parse
 
 import pytest
 from pyspark.sql import functions as F
 
-from kinsift.operators import fusion
+from kinsift.operators import fusion, signals
 from kinsift.plans import api, catalogue, code_queries
 from kinsift.sources import files, schemas
 from kinsift.sources.scratch import keep_ids, materialise
@@ -122,7 +125,54 @@ def test_browse_and_report(spark):
     assert api.pick(out["pairs"], 1, [F.desc("score")]).first().file_b == "3.py"
     sources = spark.createDataFrame([("p", "1.py", "a\nb<"), ("p", "2.py", "a\nc")], "problem_id string, file string, text string")
     pages = {r.name: r.html for r in api.report(out["pairs"].filter("flagged = 1"), sources, ["jaccard", "winnow"]).collect()}
-    assert set(pages) == {"p", "index"} and "composite = <b>0.870</b>" in pages["p"] and "b&lt;" in pages["p"] and "(1)" in pages["index"]
+    assert set(pages) == {"p", "index"} and "<dt>Score<dd>0.870<dt>" in pages["p"] and "b&lt;" in pages["p"] and "<p>1 pairs" in pages["index"]
+
+
+def test_pages_are_files_with_working_links(spark, tmp_path):
+    rows = [("a b/c", "1.py", "2.py", 0.9, 1, 1), ("plain", "1.py", "2.py", 0.8, 1, None)]
+    flagged = spark.createDataFrame(rows, "problem_id string, file_a string, file_b string, score double, flagged int, label_used int")
+    sources = spark.createDataFrame([(p, f, "x") for p in ("a b/c", "plain") for f in ("1.py", "2.py")], "problem_id string, file string, text string")
+    for _ in range(2):
+        files.write_pages(api.report(flagged, sources, []), str(tmp_path / "pages"))
+    assert {x.name for x in (tmp_path / "pages").iterdir()} == {"index.html", "a b_c.html", "plain.html"}
+    links = re.findall("href='([^']*)'", (tmp_path / "pages" / "index.html").read_text())
+    assert all((tmp_path / "pages" / urllib.parse.unquote(x)).exists() for x in links) and len(links) == 2
+    assert "index.html" in (tmp_path / "pages" / "plain.html").read_text()
+
+
+def test_models_are_whole(spark, tmp_path):
+    model = json.loads(code_queries.model(spark).toJSON().first())
+    (tmp_path / "m.json").write_text(json.dumps(model, indent=2))
+    assert files.read_model(spark, str(tmp_path / "m.json")).first().threshold == 0.5
+    (tmp_path / "bad.json").write_text(json.dumps({"lo": [1]}, indent=2))
+    with pytest.raises(ValueError):
+        files.read_model(spark, str(tmp_path / "bad.json"))
+    with pytest.warns(UserWarning, match="original"):
+        files.write_model(code_queries.model(spark), str(tmp_path / "w"), "original")
+
+
+def test_scan_flags_rounded_and_groups_unrounded_scores(spark):
+    sources = files.from_uploads(spark, {"2.py": A, "1.py": C})
+    whole = api.scan(sources, code_queries.model(spark))["matrix"].filter("i <> j").first().value
+    first = api.scan(sources, code_queries.model(spark))["pairs"].first()
+    assert (first.file_a, first.file_b) == ("2.py", "1.py")  # order of upload
+    assert first.score == round(whole, 4) != whole
+    for limit in (whole, first.score):  # one side of each other
+        out = api.scan(sources, code_queries.model(spark).withColumn("no_embedding", F.col("no_embedding").withField("threshold", F.lit(limit))))
+        assert out["pairs"].first().flagged == (first.score >= limit)
+        assert out["groups"].count() == out["degrees"].count() / 2 == int(whole >= limit)
+    with pytest.raises(ValueError):
+        api.scan(files.from_uploads(spark, {"1.py": A, "2.py": "x = ("}), code_queries.model(spark))
+
+
+def test_embed_run(spark):
+    pairs = spark.createDataFrame([("p", "1", "2", 1), ("p", "1", "3", 0), ("q", "1", "2", 0)], "problem_id string, file_a string, file_b string, is_plagiarized int")
+    sources = spark.createDataFrame([("p", "1", "a b c"), ("p", "2", "a b c"), ("p", "3", "x y"), ("q", "1", "a"), ("q", "2", "")], "problem_id string, file string, text string")
+    out = api.embed_run(pairs, sources, signals.make_embedder("tfidf"))
+    assert {(r.problem_id, r.file_b): r.embedding for r in out["pairs"].collect()} == {("p", "2"): 1.0, ("p", "3"): 0.0, ("q", "2"): 0.0}
+    assert tuple(out["summary"].first()) == (0.0, 1.0, 0.0, 1.0)
+    with pytest.raises(Exception, match="no source"):
+        api.embed_run(pairs, sources.filter("file <> '3'"), signals.make_embedder("tfidf"))
 
 
 def test_streaming(spark, tmp_path):
