@@ -103,4 +103,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_minhash_near_dedup": minhash.SQL,
         "op8_exact_dedup": exact_dedup.SQL,
+        "op9_suffix_dedup": suffix_dedup.SQL,
     }

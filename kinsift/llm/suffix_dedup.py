@@ -387,3 +387,22 @@ def _with_rows(docs: DataFrame, lists: DataFrame) -> DataFrame:
     """Documents that have a line in ``lists`` (materialised; k, u and a list), with that list."""
     some = keep_ids(docs.withColumn("ku", F.struct("k", "u")), lists.select(F.struct("k", "u").alias("ku")), "ku", "left_semi").drop("ku")
     return some.join(lists, ["k", "u"])
+
+
+#: For DuckDB, at 200 bytes: windows are cut from hexadecimal digits, two for a byte.
+SQL = """
+WITH b AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+-- pieces of 400 digits that start at every 200th, so windows are cut from short strings
+p AS MATERIALIZED (SELECT doc_id, k * 200 AS base, substr(h, CAST(k * 400 + 1 AS BIGINT), 800) AS x FROM (SELECT doc_id, h, unnest(generate_series(0, length(h) // 400)) AS k FROM b)),
+w AS MATERIALIZED (SELECT doc_id, base + j AS i, substr(x, CAST(2 * j + 1 AS BIGINT), 400) AS s FROM (SELECT doc_id, base, x, unnest(generate_series(0, 199)) AS j FROM p) WHERE length(x) >= 2 * j + 400),
+r AS MATERIALIZED (SELECT s FROM w GROUP BY s HAVING count(*) > 1),
+hit AS MATERIALIZED (SELECT doc_id, i FROM w SEMI JOIN r USING (s)),
+head AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM hit),
+run AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS z FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM head) GROUP BY doc_id, g),
+cut AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM run),
+k AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(z) AS last,
+  string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) AS kept FROM cut JOIN b USING (doc_id) GROUP BY doc_id)
+SELECT b.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM b LEFT JOIN k USING (doc_id)
+"""
