@@ -168,8 +168,10 @@ def _block_links(percent: int):
     return run
 
 
-def _beside(pairs: DataFrame, side: DataFrame, key: str) -> DataFrame:
-    """Join of pairs with the table of one of their ends; the line of an end with many pairs stands under several keys."""
+def _beside(pairs: DataFrame, side: DataFrame, key: str, total: int) -> DataFrame:
+    """Join of ``total`` pairs with the table of one of their ends; the line of an end with many pairs stands under several keys."""
+    if total <= FAN:
+        return pairs.join(side, key)
     hot = materialise(pairs.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > FAN).select(key, F.ceil(F.col("n") / FAN).cast("int").alias("salts")), "near-hot")
     many = hot.count()
     if not many:
@@ -184,14 +186,19 @@ def _beside(pairs: DataFrame, side: DataFrame, key: str) -> DataFrame:
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, k: int, least: int, percent: int) -> DataFrame:
     """Of distinct class pairs (a < b), those whose full sets reach the similarity."""
     pairs = materialise(pairs, "near-candidates")
+    total = pairs.count()
+    if not total:
+        return pairs.select("a", "b")
     left = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    near = _beside(_beside(pairs, left, "a"), right, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    near = _beside(_beside(pairs, left, "a", total), right, "b", total).filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     near = materialise(near.select("a", "b", "sa", "sb").mapInArrow(_promising(k, least), "a long, b long"), "near-pairs")
     ids = materialise(near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct(), "near-ids")
     full = keep_ids(docs, ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_full(words), "doc_id long, shingles array<long>")
     full = materialise(full, "near-sets", TEXT_ROWS)
-    both = _beside(_beside(near, full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa")), "a"), full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb")), "b")
+    total = near.count()
+    both = _beside(near, full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa")), "a", total)
+    both = _beside(both, full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb")), "b", total)
     inter = F.size(F.array_intersect("xa", "xb")).cast("long")
     out = materialise(both.filter(100 * inter >= percent * (F.size("xa") + F.size("xb") - inter)).select("a", "b"), "near-links")
     discard(pairs, near, ids, full)
@@ -229,6 +236,8 @@ def _crowd_links(lists: DataFrame, parts: DataFrame, full: DataFrame, percent: i
     """(a, b): components to join, from all pairs of different components that share a list, in cells of two blocks."""
     label, open_ = _open_lists(lists, parts, 2)
     member = materialise(label.join(open_.select("v"), "v"), "near-member")
+    if not member.limit(1).count():  # nothing is left open
+        return member.select(F.col("id").alias("a"), F.col("component").alias("b"))
     # blocks (v, c, b): of a large component c for itself, of all small ones (c = -1) together
     per = materialise(member.groupBy("v", "component").agg(F.count("*").alias("n")), "near-per")
     large = per.filter(F.col("n") > BLOCK).select("v", F.col("component").alias("c"), "n")
@@ -278,17 +287,19 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, k: int = 40,
     # classes of long ones, by their full sets
     crowd = materialise(label.join(open_.filter(F.col("members") > SHORT).select("v"), "v").select(F.col("id").alias("doc_id")).distinct(), "near-crowd")
     discard(lists, stars, label, open_)
-    full = materialise(keep_ids(docs, crowd, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_full(words), "doc_id long, shingles array<long>").withColumnRenamed("doc_id", "id"), "near-crowd-sets", TEXT_ROWS)
-    entries = full.select("id", F.explode("shingles").alias("v"), F.size("shingles").alias("len"))
-    lists = materialise(_rarest(entries, F.ceil(F.col("len") * percent / 100)), "near-crowd-lists")
-    # first each class in its longest list only: near copies share most lists, and joined there need no other
-    longest = lists.join(lists.groupBy("v").agg(F.count("*").alias("members")), "v").groupBy("id").agg(F.max(F.struct("members", "v")).alias("top")).select("id", F.col("top.v").alias("v"))
-    first = _crowd_links(longest, parts, full, percent)
-    parts = materialise(connected_components(_edges(parts).union(first), "a", "b"), "near-parts")
-    dense = _crowd_links(lists, parts, full, percent)
-    discard(crowd, full, lists)
-
-    reach = connected_components(_edges(parts).union(more).union(dense), "a", "b")
+    dense = _edges(parts)
+    if crowd.limit(1).count():
+        full = materialise(keep_ids(docs, crowd, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_full(words), "doc_id long, shingles array<long>").withColumnRenamed("doc_id", "id"), "near-crowd-sets", TEXT_ROWS)
+        entries = full.select("id", F.explode("shingles").alias("v"), F.size("shingles").alias("len"))
+        lists = materialise(_rarest(entries, F.ceil(F.col("len") * percent / 100)), "near-crowd-lists")
+        # first each class in its longest list only: near copies share most lists, and joined there need no other
+        longest = lists.join(lists.groupBy("v").agg(F.count("*").alias("members")), "v").groupBy("id").agg(F.max(F.struct("members", "v")).alias("top")).select("id", F.col("top.v").alias("v"))
+        first = _crowd_links(longest, parts, full, percent)
+        parts = materialise(connected_components(_edges(parts).union(first), "a", "b"), "near-parts")
+        dense = _edges(parts).union(_crowd_links(lists, parts, full, percent))
+        discard(crowd, full, lists)
+
+    reach = connected_components(dense.union(more), "a", "b")
     done = classes.join(reach.withColumnRenamed("node", "id"), "id", "left").select("digest", "members", F.coalesce("component", "id").alias("component_id"))
     done = materialise(done, "near-done")
     discard(classes)

@@ -101,6 +101,37 @@ def test_mix(spark, monkeypatch):
     assert {(r.doc_id, r.copies) for r in got} == {(r.doc_id, r.copies) for r in again}
 
 
+def test_mix_against_the_definition(spark):
+    """Rates from a bisection of the dual, copies from the rounding of cells by size."""
+    rng = random.Random(12)
+    rows = [(i, "w " * rng.choice([0, 1, 2, 3, 5, 8, 13, 40, rng.randrange(1, 200)]), rng.choice(["a", "b", "c", None])) for i in range(700)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s in ("a", "b", "c", None):
+        own = [r for r in got if r.source == s]
+        scale, target = max(1.0, sum(r.size for r in own) / len(own)), own[0].target
+        rate = lambda a, size: 0.0 if not size else 2 / (1 + math.exp(-max(-600, min(600, a * size / scale))))
+        low, high = -50.0, 50.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(r.size * rate(mid, r.size) for r in own) < target else (low, mid)
+        if target < 2 * sum(r.size for r in own) * (1 - 1e-9):
+            assert all(abs(r.rate - rate(low, r.size)) < 1e-3 for r in own)
+        cells = {}
+        for r in own:
+            cells.setdefault(r.size, []).append(r)
+        debt = 0.0
+        for size in sorted(cells, reverse=True):
+            cell = cells[size]
+            made = sum(r.copies for r in cell)
+            assert max(r.copies for r in cell) - min(r.copies for r in cell) <= 1
+            if size:
+                wanted = min(max(round(len(cell) * cell[0].rate + debt / size), 0), 2 * len(cell))
+                assert made == wanted
+                debt += (len(cell) * cell[0].rate - made) * size
+            else:
+                assert made == 0
+
+
 def test_mix_edges(spark):
     kind = "doc_id long, text string, source string"
     assert mixing.mix(spark.createDataFrame([], kind)).count() == 0

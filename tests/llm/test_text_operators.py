@@ -37,6 +37,58 @@ def test_languages(spark, model):
     assert len(got[(2, "de")].mixture) == 1  # one language pays, a second does not
 
 
+def brute_em(like, share):
+    for _ in range(200):
+        joint = like * share
+        share = (joint / joint.sum(axis=1, keepdims=True)).mean(axis=0)
+    return share, np.log((like * share).sum(axis=1)).sum()
+
+
+def brute_mixture(text, model, most=4):
+    """Proportions of one text from the definition: word by word, n-gram by n-gram, set by set."""
+    k, like = len(model.languages), []
+    for w in re.findall(rb"[A-Za-z\x80-\xff]+", text.lower().encode()):
+        log = np.zeros(k)
+        for i, c in enumerate(w):
+            three = ((w[i - 2] if i > 1 else 0) << 16) | ((w[i - 1] if i else 0) << 8) | c
+            log += model.table[(three * 0x9E3779B1 & 0xFFFFFFFF) >> 16]
+        like.append(np.exp(np.maximum(log - log.max(), -60)))
+    like = np.array(like)
+    share, _ = brute_em(like, np.full(k, 1 / k))
+    order = sorted(range(k), key=lambda j: (-share[j], j))
+    best, score = None, np.inf
+    for m in range(1, min(most, k) + 1):
+        if m > 1 and share[order[m - 1]] * len(like) <= 0.5:
+            break
+        start = np.zeros(k)
+        start[order[:m]] = np.maximum(share[order[:m]], 1e-6)
+        fitted, level = brute_em(like, start / start.sum())
+        if -2 * level + (m - 1) * np.log(len(like)) >= score - 1e-9:
+            break
+        best, score = fitted, -2 * level + (m - 1) * np.log(len(like))
+    return best
+
+
+def test_mixtures_against_the_definition(spark, model):
+    rng = random.Random(5)
+    texts = [sentence(rng, EN, a) + " " + sentence(rng, DE, b) for a, b in ((30, 0), (0, 30), (20, 20), (40, 10), (5, 60), (1, 0), (0, 2), (300, 200))]
+    texts = [t.strip() for t in texts] + ["Über 12 the-und!", "x" * 3000]
+    got = langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r in got:
+        wanted = brute_mixture(texts[r.doc_id], model)
+        shares = {x.lang: x.share for x in r.mixture}
+        assert np.allclose([shares.get(x, 0) for x in model.languages], wanted, atol=0.02), texts[r.doc_id][:40]
+        assert r.lang_pred == model.languages[int(np.argmax(wanted))] and abs(r.score - wanted.max()) < 0.02
+
+
+def test_language_ties_and_nothing(spark, model):
+    same = spark.createDataFrame([(i, "the same words here", ("bb", "aa")[i % 2]) for i in range(20)], "doc_id long, text string, lang string")
+    tied = langid.fit(same)
+    docs = spark.createDataFrame([(1, "the same"), (1, "the same")], "doc_id long, text string")
+    assert [r.lang_pred for r in langid.identify(docs, tied).collect()] == ["aa", "aa"]
+    assert langid.identify(docs.filter("false"), model).count() == 0
+
+
 def test_em_follows_the_likelihood():
     rng = np.random.default_rng(0)
     like = rng.random((200, 3)) + 0.01
