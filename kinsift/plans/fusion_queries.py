@@ -134,25 +134,16 @@ def lopo_average_metrics(spark, sf_dir):
     return evaluation.metrics(evaluation.lopo_average(signal_table(spark, sf_dir), THREE, "same"), "flagged", "score", "same")
 
 
-def lopo_scores(spark, sf_dir):
-    out = evaluation.lopo(_filled(spark, sf_dir), THREE, "same", step=0.2)
-    return out.select("a", "b", "score", "threshold", F.col("flagged").cast("int").alias("flagged"))
-
-
-def lopo_metrics(spark, sf_dir):
-    return evaluation.metrics(evaluation.lopo(_filled(spark, sf_dir), THREE, "same", step=0.2), "flagged", "score", "same")
-
-
 def _held_out(spark, sf_dir, names: list[str]) -> DataFrame:
-    """Held-out scores with weights from the whole grid (step 0.1, as in the reference)."""
+    """Held-out scores with weights from the whole grid (step 0.1)."""
     return evaluation.lopo(materialise(_filled(spark, sf_dir), "signals"), names, "same", step=0.1)  # a fit reads it several times
 
 
-def lopo_scores_tenths(spark, sf_dir):
+def lopo_scores(spark, sf_dir):
     return _held_out(spark, sf_dir, THREE).select("a", "b", "score", "threshold", F.col("flagged").cast("int").alias("flagged"))
 
 
-def lopo_metrics_tenths(spark, sf_dir):
+def lopo_metrics(spark, sf_dir):
     return evaluation.metrics(_held_out(spark, sf_dir, THREE), "flagged", "score", "same")
 
 
@@ -242,6 +233,8 @@ _N = f"{_S}, mm AS (SELECT {_RANGE} FROM s), n AS MATERIALIZED (SELECT problem_i
 
 
 def _grid_sql(n: int, k: int) -> str:
+    if n == 1:
+        return "grid AS (SELECT 1 AS ord, 1.0::DOUBLE AS w1)"
     names = [f"i{i}" for i in range(1, n)]
     tables = ", ".join(f"(SELECT unnest(generate_series(0, {k})) AS {x}) g{x}" for x in names)
     total = " + ".join(names)
@@ -280,22 +273,40 @@ _AVERAGE = f"""{_RATED},
 tr AS (SELECT z.fold, r.score, r.same FROM r JOIN (SELECT DISTINCT problem_id AS fold FROM r) z ON r.problem_id <> z.fold),
 {_curve_sql('tr', 'fold', 'c')}, {_best_sql('c', 'fold', 'l')},
 e AS MATERIALIZED (SELECT problem_id, a, b, same, score, threshold, score >= threshold AS flagged FROM r JOIN l ON l.fold = r.problem_id)"""
-_METRICS = """SELECT coalesce(tp / nullif(tp + fp, 0), 0.0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0.0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0) AS f1, coalesce((tp + tn) / nullif(tp + fp + fn + tn, 0), 0.0) AS accuracy, auc
-FROM (SELECT count(*) FILTER (flagged AND same = 1) AS tp, count(*) FILTER (flagged AND same = 0) AS fp, count(*) FILTER (NOT flagged AND same = 1) AS fn, count(*) FILTER (NOT flagged AND same = 0) AS tn FROM e), m"""
-_T_SCALE = ", ".join(f"greatest(0.0, least(1.0, ({x} - lo_{x}) / CASE WHEN hi_{x} - lo_{x} = 0 THEN 1.0::DOUBLE ELSE hi_{x} - lo_{x} END)) AS {x}" for x in THREE)
-_T_SUM = "jaccard * w1 + winnow * w2 + structural * w3"
-_LOPO = f"""{_S}, {_grid_sql(3, 5)},
-z AS MATERIALIZED (SELECT DISTINCT problem_id AS fold FROM s),
-tr AS MATERIALIZED (SELECT z.fold, s.* FROM s JOIN z ON s.problem_id <> z.fold),
-mm AS MATERIALIZED (SELECT fold, {", ".join(f"min({x}) AS lo_{x}, max({x}) AS hi_{x}" for x in THREE)} FROM tr GROUP BY fold),
-tn AS MATERIALIZED (SELECT fold, same, {_T_SCALE} FROM tr JOIN mm USING (fold)),
-tw AS (SELECT fold, ord, same, {_T_SUM} AS score FROM tn, grid),
-{_auc_sql('tw', 'fold, ord', 'u')},
-bw AS MATERIALIZED (SELECT fold, w1, w2, w3 FROM (SELECT u.fold, grid.*, row_number() OVER (PARTITION BY fold ORDER BY auc - 0.001::DOUBLE * (w1 * w1 + w2 * w2 + w3 * w3) DESC NULLS LAST, ord) AS place FROM u JOIN grid USING (ord)) WHERE place = 1),
-ts AS (SELECT fold, same, {_T_SUM} AS score FROM tn JOIN bw USING (fold)),
-{_curve_sql('ts', 'fold', 'c')}, {_best_sql('c', 'fold', 'l')},
-hn AS (SELECT problem_id, a, b, same, {_T_SCALE} FROM s JOIN mm ON mm.fold = s.problem_id),
-e AS MATERIALIZED (SELECT 0 AS k, problem_id, a, b, same, {_T_SUM} AS score, threshold, {_T_SUM} >= threshold AS flagged FROM hn JOIN bw ON bw.fold = problem_id JOIN l ON l.fold = problem_id)"""
+
+
+def _metrics_sql(rows: str = "e", area: str = "m") -> str:
+    return f"""SELECT coalesce(tp / nullif(tp + fp, 0), 0.0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0.0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0) AS f1, coalesce((tp + tn) / nullif(tp + fp + fn + tn, 0), 0.0) AS accuracy, auc
+FROM (SELECT count(*) FILTER (flagged AND same = 1) AS tp, count(*) FILTER (flagged AND same = 0) AS fp, count(*) FILTER (NOT flagged AND same = 1) AS fn, count(*) FILTER (NOT flagged AND same = 0) AS tn FROM {rows}), {area}"""
+
+
+def _lopo_sql(names: list[str], t: str = "") -> str:
+    """``e``: held-out scores with the best of all weights in tenths; every name of a step ends with ``t``."""
+    scale = ", ".join(f"greatest(0.0, least(1.0, ({x} - lo_{x}) / CASE WHEN hi_{x} - lo_{x} = 0 THEN 1.0::DOUBLE ELSE hi_{x} - lo_{x} END)) AS {x}" for x in names)
+    score = " + ".join(f"{x} * w{i}" for i, x in enumerate(names, 1))
+    weights = [f"w{i}" for i in range(1, len(names) + 1)]
+    spread = " + ".join(f"{w} * {w}" for w in weights)
+    return f"""{_grid_sql(len(names), 10).replace("grid", f"grid{t}", 1)},
+z{t} AS MATERIALIZED (SELECT DISTINCT problem_id AS fold FROM s),
+tr{t} AS MATERIALIZED (SELECT z.fold, s.* FROM s JOIN z{t} z ON s.problem_id <> z.fold),
+mm{t} AS MATERIALIZED (SELECT fold, {", ".join(f"min({x}) AS lo_{x}, max({x}) AS hi_{x}" for x in names)} FROM tr{t} GROUP BY fold),
+tn{t} AS MATERIALIZED (SELECT fold, same, {scale} FROM tr{t} JOIN mm{t} USING (fold)),
+tw{t} AS (SELECT fold, ord, same, {score} AS score FROM tn{t}, grid{t}),
+{_auc_sql(f"tw{t}", "fold, ord", f"u{t}")},
+bw{t} AS MATERIALIZED (SELECT fold, {", ".join(weights)} FROM (SELECT u.fold, g.*, row_number() OVER (PARTITION BY fold ORDER BY auc - 0.001::DOUBLE * ({spread}) DESC NULLS LAST, ord) AS place FROM u{t} u JOIN grid{t} g USING (ord)) WHERE place = 1),
+ts{t} AS (SELECT fold, same, {score} AS score FROM tn{t} JOIN bw{t} USING (fold)),
+{_curve_sql(f"ts{t}", "fold", f"c{t}")}, {_best_sql(f"c{t}", "fold", f"l{t}")},
+hn{t} AS (SELECT problem_id, a, b, same, {scale} FROM s JOIN mm{t} mm ON mm.fold = s.problem_id),
+e{t} AS MATERIALIZED (SELECT 0 AS k, problem_id, a, b, same, {score} AS score, threshold, {score} >= threshold AS flagged FROM hn{t} JOIN bw{t} bw ON bw.fold = problem_id JOIN l{t} l ON l.fold = problem_id)"""
+
+
+def _configurations_sql() -> str:
+    runs = [(s, _lopo_sql([s], f"_{i}"), f"e_{i}") for i, s in enumerate(SIGNALS)]
+    runs += [("3 signals", _lopo_sql(THREE, "_5"), "e_5"), ("4 signals", _lopo_sql(SIGNALS, "_6"), "e_6"), ("mean of 3", "ea AS (SELECT 0 AS k, * FROM e)", "ea")]
+    steps = ", ".join(f"{sql}, {_auc_sql(rows, 'k', f'm_{rows}')}" for _, sql, rows in runs)
+    return f"WITH {_AVERAGE}, {steps} " + " UNION ALL ".join(f"SELECT '{name}' AS configuration, * FROM ({_metrics_sql(rows, f'm_{rows}')})" for name, _, rows in runs)
+
+
 _C = " + ".join(f"greatest(0.0, least(1.0, ({x} - {lo}::DOUBLE) / ({hi}::DOUBLE - {lo}::DOUBLE))) * {w}::DOUBLE" for x, lo, hi, w in zip(SIGNALS, ("0.0", "0.0", "0.2", "(-0.4)"), ("1.0",) * 4, ("0.0", "0.4", "0.5", "0.1")))
 _V = f"{_S}, v AS MATERIALIZED (SELECT *, CASE WHEN embedding IS NULL THEN {_MEAN} ELSE {_C} END AS score, CASE WHEN embedding IS NULL THEN {_MEAN} >= 0.25::DOUBLE ELSE {_C} >= 0.3::DOUBLE END AS flagged FROM raw_signals)"
 _VERDICT = "CASE WHEN flagged THEN 'PLAGIARIZED' ELSE 'NOT PLAGIARIZED' END AS verdict"
@@ -315,15 +326,13 @@ QUERIES = {
     "threshold_curve": (threshold_curve, f"WITH {_RATED}, {_curve_sql('r', 'k', 'c')} SELECT score, tp, fp, fn, f1 FROM c"),
     "best_threshold": (best_threshold, f"WITH {_RATED}, {_curve_sql('r', 'k', 'c')}, {_best_sql('c', 'k', 'l')} SELECT threshold, f1 FROM l"),
     "lopo_average": (lopo_average, f"WITH {_AVERAGE} SELECT a, b, score, threshold, CAST(flagged AS INTEGER) AS flagged FROM e"),
-    "lopo_average_metrics": (lopo_average_metrics, f"WITH {_AVERAGE}, k0 AS (SELECT 0 AS k, * FROM e), {_auc_sql('k0', 'k', 'm')} {_METRICS}"),
+    "lopo_average_metrics": (lopo_average_metrics, f"WITH {_AVERAGE}, k0 AS (SELECT 0 AS k, * FROM e), {_auc_sql('k0', 'k', 'm')} {_metrics_sql()}"),
     "lopo_by_problem": (lopo_by_problem, f"WITH {_AVERAGE} SELECT problem_id, count(*) AS pairs, count(*) FILTER (CAST(flagged AS INTEGER) <> same) AS wrong, count(*) FILTER (CAST(flagged AS INTEGER) = same) / count(*) AS accuracy FROM e GROUP BY problem_id"),
-    "lopo_scores": (lopo_scores, f"WITH {_LOPO} SELECT a, b, score, threshold, CAST(flagged AS INTEGER) AS flagged FROM e"),
-    "lopo_metrics": (lopo_metrics, f"WITH {_LOPO}, {_auc_sql('e', 'k', 'm')} {_METRICS}"),
-    "lopo_scores_tenths": (lopo_scores_tenths, None),
-    "lopo_metrics_tenths": (lopo_metrics_tenths, None),
-    "lopo_scores_four": (lopo_scores_four, None),
-    "lopo_metrics_four": (lopo_metrics_four, None),
-    "configuration_comparison": (configuration_comparison, None),
+    "lopo_scores": (lopo_scores, f"WITH {_S}, {_lopo_sql(THREE)} SELECT a, b, score, threshold, CAST(flagged AS INTEGER) AS flagged FROM e"),
+    "lopo_metrics": (lopo_metrics, f"WITH {_S}, {_lopo_sql(THREE)}, {_auc_sql('e', 'k', 'm')} {_metrics_sql()}"),
+    "lopo_scores_four": (lopo_scores_four, f"WITH {_S}, {_lopo_sql(SIGNALS)} SELECT a, b, score, threshold, CAST(flagged AS INTEGER) AS flagged FROM e"),
+    "lopo_metrics_four": (lopo_metrics_four, f"WITH {_S}, {_lopo_sql(SIGNALS)}, {_auc_sql('e', 'k', 'm')} {_metrics_sql()}"),
+    "configuration_comparison": (configuration_comparison, _configurations_sql()),
     "composite_verdicts": (composite_verdicts, f"WITH {_V} SELECT a, b, score, CAST(flagged AS INTEGER) AS flagged, {_VERDICT} FROM v WHERE embedding IS NOT NULL"),
     "fallback_verdicts": (fallback_verdicts, f"WITH {_V} SELECT a, b, score, CAST(flagged AS INTEGER) AS flagged, {_VERDICT} FROM v WHERE embedding IS NULL"),
     "verdict_counts": (verdict_counts, f"WITH {_V} SELECT {_VERDICT}, count(*) AS n FROM v GROUP BY ALL"),

@@ -88,7 +88,7 @@ def ngram_jaccard_pairs(spark, sf_dir):
 
 
 def trigram_jaccard_pairs(spark, sf_dir):
-    found = signals.overlap_pairs(gram_rows(spark, sf_dir, 3), "source", "doc_id", "g", floor=0.25)
+    found = signals.overlap_pairs(gram_rows(spark, sf_dir, 3), "source", "doc_id", "g")
     return found.select("source", "a", "b", "shared", "jaccard")
 
 
@@ -131,7 +131,7 @@ def tfidf_weights(spark, sf_dir):
 
 def tfidf_cosine_pairs(spark, sf_dir):
     found = signals.sparse_cosine(_weights(spark, sf_dir), documents(spark, sf_dir), "source", "doc_id")
-    return found.filter("cosine >= 0.4").select("source", "a", "b", F.round("cosine", 6).alias("cosine"))
+    return found.select("source", "a", "b", F.round("cosine", 6).alias("cosine"))
 
 
 def _vectors(spark, sf_dir):
@@ -184,7 +184,7 @@ def unique_files(spark, sf_dir):
 
 
 def similarity_matrix_long(spark, sf_dir):
-    return graph.matrix_long(ngram_jaccard_pairs(spark, sf_dir).filter("jaccard >= 0.2"), "source", "a", "b", "jaccard").select("source", F.col("i").alias("doc_i"), F.col("j").alias("doc_j"), "value")
+    return graph.matrix_long(ngram_jaccard_pairs(spark, sf_dir), "source", "a", "b", "jaccard").select("source", F.col("i").alias("doc_i"), F.col("j").alias("doc_j"), "value")
 
 
 def node_degrees(spark, sf_dir):
@@ -210,7 +210,7 @@ QUERIES = {
     "winnow_fingerprints": (winnow_fingerprints, f"WITH {TOKENS}, {grams_sql(5)}, {FINGERPRINTS} SELECT t.doc_id, count(fp) AS n_fingerprints, min(fp) AS low, max(fp) AS high FROM t LEFT JOIN f USING (doc_id) GROUP BY t.doc_id"),
     "fingerprint_compression": (fingerprint_compression, f"WITH {TOKENS}, {grams_sql(5)}, {FINGERPRINTS} SELECT source, CAST(g AS BIGINT) AS grams, CAST(n AS BIGINT) AS fingerprints, n / g AS share FROM (SELECT source, count(*) AS g FROM o GROUP BY source) JOIN (SELECT source, count(*) AS n FROM f GROUP BY source) USING (source)"),
     "ngram_jaccard_pairs": (ngram_jaccard_pairs, f"WITH {_J5} SELECT source, a, b, shared, jaccard FROM j"),
-    "trigram_jaccard_pairs": (trigram_jaccard_pairs, f"WITH {TOKENS}, {grams_sql(3)}, g AS MATERIALIZED (SELECT DISTINCT source, doc_id, g FROM o), {overlap_sql('g', 'g', 'j')} SELECT source, a, b, shared, jaccard FROM j WHERE jaccard >= 0.25"),
+    "trigram_jaccard_pairs": (trigram_jaccard_pairs, f"WITH {TOKENS}, {grams_sql(3)}, g AS MATERIALIZED (SELECT DISTINCT source, doc_id, g FROM o), {overlap_sql('g', 'g', 'j')} SELECT source, a, b, shared, jaccard FROM j"),
     "winnow_similarity_pairs": (winnow_similarity_pairs, f"WITH {_W} SELECT source, a, b, shared, jaccard AS winnow FROM j"),
     "shared_fingerprint_candidates": (shared_fingerprint_candidates, f"WITH {_W} SELECT source, count(*) AS candidates, CAST(sum(shared) AS BIGINT) AS shared FROM j WHERE shared >= 3 GROUP BY source"),
     "normalize_whitespace_docs": (normalize_whitespace_docs, r"SELECT doc_id, md5(x) AS digest, length(x) AS n_chars FROM (SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(text, '\r\n|[\n\r\f]'), lambda x: regexp_replace(x, '\s+$', '')), lambda x: x <> ''), chr(10)) AS x FROM documents)"),
@@ -218,7 +218,7 @@ QUERIES = {
     "leading_number": (leading_number, f"SELECT page_id, coalesce(TRY_CAST(nullif(regexp_extract({_NAME}, '^([0-9]+)', 1), '') AS INTEGER), -1) AS number FROM pages"),
     "problem_folders": (problem_folders, "SELECT source, count(*) AS files, min(doc_id) AS first, max(doc_id) AS last FROM documents GROUP BY source"),
     "tfidf_weights": (tfidf_weights, f"WITH {_TFIDF} SELECT doc_id, count(*) AS terms, round(max(weight), 6) AS top, round(sum(weight * weight), 6) AS length FROM k GROUP BY doc_id"),
-    "tfidf_cosine_pairs": (tfidf_cosine_pairs, f"WITH {_TFIDF}, p AS MATERIALIZED (SELECT k.doc_id, d.source, k.term, k.weight FROM k JOIN documents d USING (doc_id)) SELECT source, a, b, round(cosine, 6) AS cosine FROM (SELECT x.source, x.doc_id AS a, y.doc_id AS b, sum(x.weight * y.weight) AS cosine FROM p x JOIN p y ON x.source = y.source AND x.term = y.term AND x.doc_id < y.doc_id GROUP BY ALL) WHERE cosine >= 0.4"),
+    "tfidf_cosine_pairs": (tfidf_cosine_pairs, f"WITH {_TFIDF}, p AS MATERIALIZED (SELECT k.doc_id, d.source, k.term, k.weight FROM k JOIN documents d USING (doc_id)) SELECT source, a, b, round(cosine, 6) AS cosine FROM (SELECT x.source, x.doc_id AS a, y.doc_id AS b, sum(x.weight * y.weight) AS cosine FROM p x JOIN p y ON x.source = y.source AND x.term = y.term AND x.doc_id < y.doc_id GROUP BY ALL)"),
     "embedding_cosine_pairs": (embedding_cosine_pairs, f"WITH {_COS} SELECT block, a, b, round(cosine, 6) AS cosine FROM c"),
     "embedding_cosine_all_pairs": (embedding_cosine_all_pairs, None),
     "embedding_l2_norms": (embedding_l2_norms, "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 6) AS norm, 1.0::DOUBLE AS unit FROM embeddings"),
@@ -226,6 +226,6 @@ QUERIES = {
     "embedding_summary_all_pairs": (embedding_summary_all_pairs, None),
     "masked_mean_vectors": (masked_mean_vectors, "SELECT block, CAST(dim - 1 AS INTEGER) AS dim, round(avg(x), 6) AS x FROM (SELECT vec_id % 8 AS block, unnest(generate_series(1, len(embedding))) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x, label FROM embeddings) WHERE label % 2 = 0 GROUP BY ALL"),
     "unique_files": (unique_files, f"WITH {_J5} SELECT a AS doc_id FROM j UNION SELECT b FROM j"),
-    "similarity_matrix_long": (similarity_matrix_long, f"WITH {_J5}, e AS (SELECT source, a AS doc_i, b AS doc_j, jaccard AS value FROM j WHERE jaccard >= 0.2), s AS (SELECT * FROM e UNION ALL SELECT source, doc_j, doc_i, value FROM e) SELECT * FROM s UNION ALL SELECT DISTINCT source, doc_i, doc_i, 1.0::DOUBLE FROM s"),
+    "similarity_matrix_long": (similarity_matrix_long, f"WITH {_J5}, e AS (SELECT source, a AS doc_i, b AS doc_j, jaccard AS value FROM j), s AS (SELECT * FROM e UNION ALL SELECT source, doc_j, doc_i, value FROM e) SELECT * FROM s UNION ALL SELECT DISTINCT source, doc_i, doc_i, 1.0::DOUBLE FROM s"),
     "node_degrees": (node_degrees, f"WITH {_J5} SELECT source, doc_id, count(*) AS degree FROM (SELECT source, a AS doc_id FROM j WHERE jaccard >= 0.2 UNION ALL SELECT source, b FROM j WHERE jaccard >= 0.2) GROUP BY ALL"),
 }

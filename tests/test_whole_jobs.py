@@ -48,19 +48,19 @@ def test_held_out_queries_search_the_whole_grid(spark, small):
     rows = fusion_queries._filled(spark, small).collect()
     assert len({r.problem_id for r in rows}) == 3 and {r.same for r in rows} == {0, 1}
     queries, brute = catalogue.queries(), {}
-    for name, names in (("tenths", fusion_queries.THREE), ("four", fusion_queries.SIGNALS)):
+    for name, names in (("lopo_scores", fusion_queries.THREE), ("lopo_scores_four", fusion_queries.SIGNALS)):
         brute[name] = brute_lopo(rows, names, 10)
         assert any(abs(brute[name][k][0] - v[0]) > 1e-6 for k, v in brute_lopo(rows, names, 5).items())  # a coarse grid gives other scores
-        got = {(r.a, r.b): r for r in queries[f"lopo_scores_{name}"](spark, small).collect()}
+        got = {(r.a, r.b): r for r in queries[name](spark, small).collect()}
         assert got.keys() == brute[name].keys()
         for k, (s, limit, flag, _) in brute[name].items():
             assert abs(got[k].score - s) < 1e-9 and abs(got[k].threshold - limit) < 1e-9 and got[k].flagged == int(flag)
     compared = {r.configuration: r for r in queries["configuration_comparison"](spark, small).collect()}
     assert len(compared) == 7
-    for name, configuration in (("tenths", "3 signals"), ("four", "4 signals")):
+    for name, configuration in (("lopo_scores", "3 signals"), ("lopo_scores_four", "4 signals")):
         area = brute_auc([(s, y) for s, _, _, y in brute[name].values()])
         right = sum(flag == (y == 1) for _, _, flag, y in brute[name].values()) / len(rows)
-        for r in (compared[configuration], queries[f"lopo_metrics_{name}"](spark, small).first()):
+        for r in (compared[configuration], queries[name.replace("scores", "metrics")](spark, small).first()):
             assert abs(r.auc - area) < 1e-9 and abs(r.accuracy - right) < 1e-9
 
 
