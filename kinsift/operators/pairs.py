@@ -17,28 +17,13 @@ def within_blocks(docs: DataFrame, block: str, order: str, keep: tuple[str, ...]
     """All pairs of one block, ``order`` ascending: an equi-join with an ordering residue.
 
     Columns: the block, ``<order>_a``, ``<order>_b`` and both sides of ``keep``.  The number of pairs is the square of
-    a block's size by definition; candidate joins in ``signals`` avoid it where a floor is known.
+    a block's size by definition; candidate joins in ``signals`` avoid it where a floor is known, and
+    ``cells`` compares pairs in bounded groups.
     """
     side = lambda s: docs.select(block, *(F.col(c).alias(f"{c}_{s}") for c in (order, *keep)))
     return side("a").join(side("b"), block).filter(F.col(f"{order}_a") < F.col(f"{order}_b"))
 
 
-def every_pair(docs: DataFrame, order: str, keep: tuple[str, ...] = (), parts: int = 12) -> DataFrame:
-    """All pairs of a table, ``order`` ascending; columns as :func:`within_blocks`, without a block.
-
-    Rows are dealt into ``parts`` blocks by a hash, and each block meets every block (itself too) in a cell of its own:
-    no pair is left out, and no task sees all rows.
-    """
-    dealt = docs.select(order, *keep, F.pmod(F.xxhash64(order), F.lit(parts)).cast("int").alias("_block"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-
-    def side(s: str, own: str, other: str) -> DataFrame:
-        return dealt.select(F.col("_block").alias(own), every.alias(other), *(F.col(c).alias(f"{c}_{s}") for c in (order, *keep)))
-
-    met = side("a", "_row", "_column").join(side("b", "_column", "_row"), ["_row", "_column"])
-    return met.filter(F.col(f"{order}_a") < F.col(f"{order}_b")).drop("_row", "_column")
-
-
 def one_bag(docs: DataFrame, order: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """All pairs of a small set, such as an upload."""
     return within_blocks(docs.withColumn("_bag", F.lit(0)), "_bag", order, keep).drop("_bag")

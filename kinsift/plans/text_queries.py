@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinsift.functions import text
-from kinsift.operators import evaluation, graph, pairs, signals
+from kinsift.operators import cells, evaluation, graph, signals
 from kinsift.sources.files import basename
 
 #: Common table expressions that the SQL of several queries begins with.
@@ -139,21 +139,12 @@ def _vectors(spark, sf_dir):
 
 
 def _cosines(spark, sf_dir):
-    unit = _vectors(spark, sf_dir).select("block", "vec_id", "label", signals.l2_normalise(F.col("embedding")).alias("v"))
-    return pairs.within_blocks(unit, "block", "vec_id", ("v", "label")).withColumn("cosine", signals.dot(F.col("v_a"), F.col("v_b")))
-
-
-def embedding_cosine_pairs(spark, sf_dir):
-    return _cosines(spark, sf_dir).select("block", F.col("vec_id_a").alias("a"), F.col("vec_id_b").alias("b"), F.round("cosine", 6).alias("cosine"))
-
-
-def _all_cosines(spark, sf_dir):
     unit = _vectors(spark, sf_dir).select("vec_id", "label", signals.l2_normalise(F.col("embedding")).alias("v"))
-    return pairs.every_pair(unit, "vec_id", ("v", "label")).withColumn("cosine", signals.dot(F.col("v_a"), F.col("v_b")))
+    return cells.in_cells(unit, [], "vec_id", ["label"], lambda a, b: {"cosine": cells.cosines(a["v"], b["v"])}, "cosine double")
 
 
-def embedding_cosine_all_pairs(spark, sf_dir):
-    return _all_cosines(spark, sf_dir).select(F.col("vec_id_a").alias("a"), F.col("vec_id_b").alias("b"), F.round("cosine", 6).alias("cosine"))
+def embedding_cosine_pairs(spark, sf_dir):
+    return _cosines(spark, sf_dir).select(F.col("vec_id_a").alias("a"), F.col("vec_id_b").alias("b"), F.round("cosine", 6).alias("cosine"))
 
 
 def embedding_l2_norms(spark, sf_dir):
@@ -166,12 +157,6 @@ def embedding_summary_by_label(spark, sf_dir):
     return found.select("same", "n", *(F.round(c, 6).alias(c) for c in ("low", "high", "mean")))
 
 
-def embedding_summary_all_pairs(spark, sf_dir):
-    rated = _all_cosines(spark, sf_dir).withColumn("same", (F.col("label_a") == F.col("label_b")).cast("int"))
-    found = evaluation.summary(rated, "cosine", ["same"])
-    return found.select("same", "n", *(F.round(c, 6).alias(c) for c in ("low", "high", "mean")))
-
-
 def masked_mean_vectors(spark, sf_dir):
     vectors = _vectors(spark, sf_dir).select("block", "embedding", (F.col("label") % 2 == 0).alias("mask"))
     found = signals.masked_mean(vectors, "block", "embedding", "mask")
@@ -193,7 +178,7 @@ def node_degrees(spark, sf_dir):
 
 
 _NAME = "split_part(replace(url, '\\', '/'), '/', -1)"
-_COS = "c AS MATERIALIZED (SELECT x.vec_id % 8 AS block, x.vec_id AS a, y.vec_id AS b, x.label AS la, y.label AS lb, list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS cosine FROM embeddings x JOIN embeddings y ON x.vec_id % 8 = y.vec_id % 8 AND x.vec_id < y.vec_id)"
+_COS = "c AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b, x.label AS la, y.label AS lb, list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS cosine FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id)"
 _TFIDF = f"""{TOKENS},
 w AS MATERIALIZED (SELECT doc_id, unnest(list_concat(ws, list_transform(generate_series(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM t WHERE len(ws) > 0),
 tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
@@ -219,11 +204,9 @@ QUERIES = {
     "problem_folders": (problem_folders, "SELECT source, count(*) AS files, min(doc_id) AS first, max(doc_id) AS last FROM documents GROUP BY source"),
     "tfidf_weights": (tfidf_weights, f"WITH {_TFIDF} SELECT doc_id, count(*) AS terms, round(max(weight), 6) AS top, round(sum(weight * weight), 6) AS length FROM k GROUP BY doc_id"),
     "tfidf_cosine_pairs": (tfidf_cosine_pairs, f"WITH {_TFIDF}, p AS MATERIALIZED (SELECT k.doc_id, d.source, k.term, k.weight FROM k JOIN documents d USING (doc_id)) SELECT source, a, b, round(cosine, 6) AS cosine FROM (SELECT x.source, x.doc_id AS a, y.doc_id AS b, sum(x.weight * y.weight) AS cosine FROM p x JOIN p y ON x.source = y.source AND x.term = y.term AND x.doc_id < y.doc_id GROUP BY ALL)"),
-    "embedding_cosine_pairs": (embedding_cosine_pairs, f"WITH {_COS} SELECT block, a, b, round(cosine, 6) AS cosine FROM c"),
-    "embedding_cosine_all_pairs": (embedding_cosine_all_pairs, None),
+    "embedding_cosine_pairs": (embedding_cosine_pairs, f"WITH {_COS} SELECT a, b, round(cosine, 6) AS cosine FROM c"),
     "embedding_l2_norms": (embedding_l2_norms, "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 6) AS norm, 1.0::DOUBLE AS unit FROM embeddings"),
     "embedding_summary_by_label": (embedding_summary_by_label, f"WITH {_COS} SELECT CAST(la = lb AS INTEGER) AS same, count(*) AS n, round(min(cosine), 6) AS low, round(max(cosine), 6) AS high, round(avg(cosine), 6) AS mean FROM c GROUP BY 1"),
-    "embedding_summary_all_pairs": (embedding_summary_all_pairs, None),
     "masked_mean_vectors": (masked_mean_vectors, "SELECT block, CAST(dim - 1 AS INTEGER) AS dim, round(avg(x), 6) AS x FROM (SELECT vec_id % 8 AS block, unnest(generate_series(1, len(embedding))) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x, label FROM embeddings) WHERE label % 2 = 0 GROUP BY ALL"),
     "unique_files": (unique_files, f"WITH {_J5} SELECT a AS doc_id FROM j UNION SELECT b FROM j"),
     "similarity_matrix_long": (similarity_matrix_long, f"WITH {_J5}, e AS (SELECT source, a AS doc_i, b AS doc_j, jaccard AS value FROM j), s AS (SELECT * FROM e UNION ALL SELECT source, doc_j, doc_i, value FROM e) SELECT * FROM s UNION ALL SELECT DISTINCT source, doc_i, doc_i, 1.0::DOUBLE FROM s"),

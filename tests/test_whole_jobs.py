@@ -73,11 +73,11 @@ def test_cosines_of_all_pairs(spark, tmp_path):
     rows = spark.read.parquet(f"{tmp_path}/embeddings.parquet").orderBy("vec_id").collect()  # as floats
     length = lambda v: math.sqrt(sum(x * x for x in v)) or 1.0
     brute = {(x.vec_id, y.vec_id): (sum(p * q for p, q in zip(x.embedding, y.embedding)) / length(x.embedding) / length(y.embedding), None if x.label is None or y.label is None else int(x.label == y.label)) for x, y in combinations(rows, 2)}
-    found = catalogue.queries()["embedding_cosine_all_pairs"](spark, str(tmp_path)).collect()
+    found = catalogue.queries()["embedding_cosine_pairs"](spark, str(tmp_path)).collect()
     got = {(r.a, r.b): r.cosine for r in found}
     assert len(found) == len(got) == 32 * 31 // 2 and got.keys() == brute.keys() and got[6, 13] == 1.0
     assert all(abs(got[k] - v[0]) < 1e-6 for k, v in brute.items())
-    summary = {r.same: r for r in catalogue.queries()["embedding_summary_all_pairs"](spark, str(tmp_path)).collect()}
+    summary = {r.same: r for r in catalogue.queries()["embedding_summary_by_label"](spark, str(tmp_path)).collect()}
     assert summary.keys() == {0, 1, None}
     for same, r in summary.items():
         some = [v for v, s in brute.values() if s == same]
