@@ -86,12 +86,21 @@ def signal_table(spark, sf_dir) -> DataFrame:
     )
 
 
+def _written(spark, sf_dir):
+    """The signal table, written once for queries that read it several times."""
+    return materialise(signal_table(spark, sf_dir), "signals")
+
+
 def _filled(spark, sf_dir):
     return signal_table(spark, sf_dir).fillna(0.0, ["embedding"])
 
 
+def _written_filled(spark, sf_dir):
+    return _written(spark, sf_dir).fillna(0.0, ["embedding"])
+
+
 def minmax_scaled_signals(spark, sf_dir):
-    table = _filled(spark, sf_dir)
+    table = _written_filled(spark, sf_dir)
     return fusion.apply_minmax(table, fusion.fit_minmax(table, SIGNALS), SIGNALS).select("a", "b", *SIGNALS)
 
 
@@ -109,7 +118,7 @@ def signal_auc(spark, sf_dir):
 
 
 def weight_search_best(spark, sf_dir):
-    table = _filled(spark, sf_dir)
+    table = _written_filled(spark, sf_dir)
     flat = fusion.apply_minmax(table, fusion.fit_minmax(table, SIGNALS), SIGNALS)
     found = fusion.search_weights(flat, fusion.simplex_grid(spark, 4, 0.1), SIGNALS, "same")
     return found.select("w1", "w2", "w3", "w4", "auc")
@@ -126,17 +135,17 @@ def best_threshold(spark, sf_dir):
 
 
 def lopo_average(spark, sf_dir):
-    out = evaluation.lopo_average(signal_table(spark, sf_dir), THREE, "same")
+    out = evaluation.lopo_average(_written(spark, sf_dir), THREE, "same")
     return out.select("a", "b", "score", "threshold", F.col("flagged").cast("int").alias("flagged"))
 
 
 def lopo_average_metrics(spark, sf_dir):
-    return evaluation.metrics(evaluation.lopo_average(signal_table(spark, sf_dir), THREE, "same"), "flagged", "score", "same")
+    return evaluation.metrics(evaluation.lopo_average(_written(spark, sf_dir), THREE, "same"), "flagged", "score", "same")
 
 
 def _held_out(spark, sf_dir, names: list[str]) -> DataFrame:
     """Held-out scores with weights from the whole grid (step 0.1)."""
-    return evaluation.lopo(materialise(_filled(spark, sf_dir), "signals"), names, "same", step=0.1)  # a fit reads it several times
+    return evaluation.lopo(_written_filled(spark, sf_dir), names, "same", step=0.1)
 
 
 def lopo_scores(spark, sf_dir):
@@ -156,12 +165,11 @@ def lopo_metrics_four(spark, sf_dir):
 
 
 def lopo_by_problem(spark, sf_dir):
-    return evaluation.by_group(evaluation.lopo_average(signal_table(spark, sf_dir), THREE, "same"), "flagged", "same")
+    return evaluation.by_group(evaluation.lopo_average(_written(spark, sf_dir), THREE, "same"), "flagged", "same")
 
 
 def configuration_comparison(spark, sf_dir):
-    table = materialise(_filled(spark, sf_dir), "signals")  # seven configurations read it
-    return evaluation.configurations(table, SIGNALS, "same", step=0.1)
+    return evaluation.configurations(_written_filled(spark, sf_dir), SIGNALS, "same", step=0.1)
 
 
 def _scored(spark, sf_dir):
