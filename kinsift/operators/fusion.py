@@ -58,28 +58,26 @@ def mean_of(signals: list[str]) -> Column:
 
 
 def _by_score(table: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
-    """Per slice and distinct score: ``p``, ``q`` (positives, negatives), ``p_under``, ``q_under`` (of lower scores) and
-    ``lower`` (the next lower score).
+    """Per slice and distinct score: ``p``, ``q`` (positives, negatives), ``p_under``, ``q_under`` (of lower scores),
+    ``lower`` (the next lower score), ``positives`` and ``negatives`` (of the slice).
 
-    Slices are independent windows.  Without slices, running sums are taken inside stretches of scores and the stretches
-    are summed up in a second, small table, so all scores never meet in one task.
+    Running sums are taken inside stretches of a slice's scores, and the stretches are summed up in a second, small table,
+    so the scores of a slice never meet in one task.
     """
     count = lambda y: F.sum(F.when(F.col(label) == y, 1).otherwise(0))
-    at = table.groupBy(*by, score).agg(count(1).alias("p"), count(0).alias("q"))
-    if by:
-        own = Window.partitionBy(*by).orderBy(score)
-        inside = own.rowsBetween(Window.unboundedPreceding, -1)
-        return at.select("*", *(F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"{c}_under") for c in "pq"), F.lag(score).over(own).alias("lower"))
-    at = materialise(at.withColumn("_stretch", F.floor(F.col(score) * 1024)), "scores")  # read twice below
-    own = Window.partitionBy("_stretch").orderBy(score)
+    at = table.groupBy(*by, score).agg(count(1).alias("p"), count(0).alias("q")).withColumn("_stretch", F.floor(F.col(score) * 1024))
+    if not by:
+        at = materialise(at, "scores")  # read twice below; with slices Spark reads one shuffle twice
+    own = Window.partitionBy(*by, "_stretch").orderBy(score)
     inside = own.rowsBetween(Window.unboundedPreceding, -1)
-    at = at.select("*", *(F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"{c}_in") for c in "pq"), F.lag(score).over(own).alias("_lag"))
-    sums = at.groupBy("_stretch").agg(F.sum("p").alias("_p"), F.sum("q").alias("_q"), F.max(score).alias("_top"))
-    order = Window.orderBy("_stretch")
+    run = at.select("*", *(F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"{c}_in") for c in "pq"), F.lag(score).over(own).alias("_lag"))
+    sums = at.groupBy(*by, "_stretch").agg(F.sum("p").alias("_p"), F.sum("q").alias("_q"), F.max(score).alias("_top"))
+    order = Window.partitionBy(*by).orderBy("_stretch")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("_stretch", *(F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"{c}_before") for c in "pq"), F.lag("_top").over(order).alias("_last"))
-    out = at.join(sums, "_stretch")
-    return out.select(score, "p", "q", *((F.col(f"{c}_in") + F.col(f"{c}_before")).alias(f"{c}_under") for c in "pq"), F.coalesce("_lag", "_last").alias("lower"))
+    totals = (F.sum(f"_{c}").over(Window.partitionBy(*by)).alias(n) for c, n in (("p", "positives"), ("q", "negatives")))
+    sums = sums.select(*by, "_stretch", *totals, *(F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"{c}_before") for c in "pq"), F.lag("_top").over(order).alias("_last"))
+    out = run.join(sums, [*by, "_stretch"])
+    return out.select(*by, score, "p", "q", *((F.col(f"{c}_in") + F.col(f"{c}_before")).alias(f"{c}_under") for c in "pq"), F.coalesce("_lag", "_last").alias("lower"), "positives", "negatives")
 
 
 def auc(table: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
@@ -107,12 +105,7 @@ def threshold_curve(table: DataFrame, score: str, label: str, by: list[str] | No
     """Per slice and distinct score: ``tp``, ``fp``, ``fn`` and ``f1`` of flagging that score and above; ``lower``."""
     by = by or []
     at = _by_score(table, score, label, by)
-    if by:
-        every = Window.partitionBy(*by)
-        out = at.select("*", F.sum("p").over(every).alias("positives"), F.sum("q").over(every).alias("negatives"))
-    else:
-        out = at.crossJoin(F.broadcast(at.agg(F.sum("p").alias("positives"), F.sum("q").alias("negatives"))))  # one row
-    out = out.select(*by, score, "lower", (F.col("positives") - F.col("p_under")).alias("tp"), (F.col("negatives") - F.col("q_under")).alias("fp"), F.col("p_under").alias("fn"))
+    out = at.select(*by, score, "lower", (F.col("positives") - F.col("p_under")).alias("tp"), (F.col("negatives") - F.col("q_under")).alias("fp"), F.col("p_under").alias("fn"))
     worth = 2 * F.col("tp") + F.col("fp") + F.col("fn")
     return out.withColumn("f1", F.when(worth == 0, 0.0).otherwise(2 * F.col("tp") / worth))
 
@@ -134,7 +127,8 @@ def fit(table: DataFrame, signals: list[str], label: str, step: float = 0.1, by:
     ranges = fit_minmax(table, signals, by)
     flat = apply_minmax(table.select(*by, label, *signals), ranges, signals, by)
     names = [f"w{i + 1}" for i in range(len(signals))]
-    weights = search_weights(flat, grid, signals, label, by).select(*by, *names, "auc")
+    # one row for each slice, read twice below: the search runs once
+    weights = materialise(search_weights(flat, grid, signals, label, by).select(*by, *names, "auc"), "weights")
     joined = flat.join(F.broadcast(weights), by) if by else flat.crossJoin(F.broadcast(weights))
     limit = best_threshold(joined.withColumn("score", weighted_sum(signals, [F.col(w) for w in names])), "score", label, by)
     parts = [weights, limit]
