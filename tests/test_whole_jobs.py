@@ -90,3 +90,10 @@ def test_programs_of_one_size_are_one_problem(spark, tmp_path):
     count = {size: sum(r[4] == size for r in rows) for size in (1, 2)}
     assert {(r.problem_id, r["count"]) for r in code_queries.programs(spark, str(tmp_path)).groupBy("problem_id").count().collect()} == {(f"size{s}", n) for s, n in count.items() if n}
     assert catalogue.queries()["structural_pairs"](spark, str(tmp_path)).count() == sum(n * (n - 1) // 2 for n in count.values())
+
+
+def test_diffs_agree_between_runs(spark, tmp_path):
+    rows = [(k, "n", "b", "t", 1, 9.5) for k in range(1, 40, 3)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    runs = [{tuple(r) for r in catalogue.queries()["pair_diff_html"](spark, str(tmp_path)).collect()} for _ in range(2)]
+    assert runs[0] == runs[1] and len({r[-1] for r in runs[0]}) == len(runs[0]) > 1
