@@ -197,3 +197,14 @@ def test_scratch(spark):
 
 def test_catalogue_is_consistent():
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries()) and len(catalogue.queries()) > 60
+
+
+def test_programs_are_dealt_out_and_parsed_once(spark, tmp_path):
+    rows = [(i, f"Brand#{i}", "KIND", i % 3, 900.5 + i) for i in range(1, 40)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_type string, p_size int, p_retailprice double").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    assert code_queries.programs(spark, str(tmp_path)).rdd.getNumPartitions() >= 16  # 4 cores
+    docs, rejects = api.normalise(code_queries.programs(spark, str(tmp_path)))
+    assert docs.count() == 39 and rejects.count() == 0
+    for df in (docs, rejects):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython [normalise_udf") == 1
