@@ -46,3 +46,16 @@ def test_strings(spark):
     assert one(spark, "string", "naïve_1 += 23.x", text.code_terms) == ["naïve_1", "+", "=", "23", ".", "x"]
     with pytest.raises(Exception, match="no leading number"):
         one(spark, "string", "x.py", text.strict_number)
+
+
+def test_fingerprint_sets_are_those_of_columns(spark):
+    rows = [(i, f"s{i % 2}", t) for i, t in enumerate(["a b c d e f g h i j k l", "a b c d e f g h i j k l", " a\tb\x0bc\r\nd ", "é e f g h i\x1cj k l m n o", "", None, "a a a a a a a a a a a", "a b c d e"])]
+    df = spark.createDataFrame(rows, "doc long, source string, text string")
+    made = df.select("doc", "source", F.col("text").cast("binary")).mapInArrow(text.fingerprint_sets, "doc long, items array<long>, marked array<long>")
+    want = text.fingerprints(df.withColumn("tokens", text.tokens(F.coalesce("text", F.lit("")))), hashes=True)
+    pair = lambda df, *c: {r.doc: [set(x or []) for x in (r[c[0]], r[c[1]])] for r in df.collect()}
+    got, want = pair(made, "items", "marked"), pair(want, "hashes", "fingerprint")
+    for doc, sets in want.items():
+        turned = int(hashlib.md5(f"s{doc % 2}".encode()).hexdigest()[:16], 16)
+        assert [{int(h[:16], 16) ^ turned for h in x} for x in sets] == [{g % 2**64 for g in x} for x in got[doc]]
+    assert len(got[0][0]) == 8 and not (got[0][0] & got[1][0]) and not got[4][0] and len(got[7][0]) == 1
