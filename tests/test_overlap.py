@@ -77,3 +77,16 @@ def test_groups_by_forests(spark, monkeypatch):
             parts = [p for p in parts if p not in hit] + [set().union({(s, a), (s, b)}, *hit)]
     want = sorted((s, ";".join(sorted(str(x) for _, x in p)), sum(i % 4 > 0 and (r[0], r[1]) in p for i, r in enumerate(rows))) for p in parts for s in {x for x, _ in p})
     assert sorted((r[0], r[3], r[4]) for r in got) == want
+
+
+def test_signals_in_tasks_are_those_of_the_table(spark, tables):
+    table = fusion_queries.signal_table(spark, tables).fillna(0.0, ["embedding"])
+    seen = fusion_queries.signal_table(spark, tables, then=(lambda batches: batches, "x0 double, x1 double, x2 double, x3 double, y int, g int"))
+    got = sorted((tuple(r)[:4], r.y) for r in seen.collect())
+    assert got == sorted((tuple(r[s] for s in fusion_queries.SIGNALS), 2 if r.same is None else r.same) for r in table.collect())
+    found = {r.signal: r.auc for r in catalogue.queries()["signal_auc"](spark, tables).collect()}
+    assert found == {r.signal: r.auc for r in evaluation.signal_auc(table, fusion_queries.SIGNALS, ["same"]).collect()} and len(found) == 4
+    rng = random.Random(4)
+    values = [rng.uniform(-1, 1) for _ in range(500)] + [(2 * k + 1) / 2e6 for k in range(-400, 400)] + [0.0, -0.0, 1.0, -1.0, 1.0000000000000002]
+    df = spark.createDataFrame([(v,) for v in values], "x double").select("x", F.round("x", 6).alias("r")).toPandas()
+    assert (fusion_queries._rounded(df["x"].to_numpy()) == df["r"].to_numpy()).all()
