@@ -1,5 +1,6 @@
 """Queries over small tables against brute force: the whole grid and every pair."""
 
+import difflib
 import math
 import random
 from itertools import combinations, product
@@ -7,6 +8,7 @@ from itertools import combinations, product
 import pytest
 from test_operators import brute_auc, brute_threshold
 
+from kinsift.operators import evidence
 from kinsift.plans import catalogue, code_queries, fusion_queries
 
 
@@ -97,3 +99,23 @@ def test_diffs_agree_between_runs(spark, tmp_path):
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
     runs = [{tuple(r) for r in catalogue.queries()["pair_diff_html"](spark, str(tmp_path)).collect()} for _ in range(2)]
     assert runs[0] == runs[1] and len({r[-1] for r in runs[0]}) == len(runs[0]) > 1
+
+
+def test_diff_tables_are_those_of_htmldiff_without_its_search(monkeypatch):
+    rnd = random.Random(5)
+    words = ["a", "ab", " ", "  ", "\t", "<", "&", "x = 1", "price_", "(", "?", "+", "-", "^", "\u00e9", "12"]
+    line = lambda most: "".join(rnd.choice(words) for _ in range(rnd.randrange(most)))
+    cases = [("", ""), ("", "a"), ("a\n\n\nb", "b"), ("x = Part17()\ny = x.scaled(17)", "x = Part942()\ny = x.scaled(942)"), ("a" * 130, "a" * 70 + "b" * 60)]
+    for _ in range(300):
+        before = [line(rnd.choice((4, 30))) for _ in range(rnd.randrange(9))]
+        after = [x if rnd.random() < 0.5 else x[: len(x) // 2] + line(4) + x[len(x) // 2 + 1 :] for x in before if rnd.random() < 0.9]
+        after.insert(rnd.randrange(len(after) + 1), line(9))
+        cases.append(("\n".join(before), "\n".join(after)))
+    differ = evidence._Diff(wrapcolumn=60)
+    differ.pair = "p"
+    wanted = [differ.make_table(a.splitlines(), b.splitlines(), fromdesc="n", todesc="m") for a, b in cases]
+    monkeypatch.setattr(difflib, "SequenceMatcher", None)
+    assert [differ.table(a, b, "n", "m") for a, b in cases] == wanted
+    monkeypatch.undo()
+    for a, b in (("a\0b", "a"), ("\n".join("ab" * 110), "b"), ("xy" * 120, "xz" * 120)):  # not taken here
+        assert differ.table(a, b, "n", "m") == differ.make_table(a.splitlines(), b.splitlines(), fromdesc="n", todesc="m")
